@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folium.llm.common import WORD, saved
+from folium.llm.common import WORD, numbered, saved
 
 #: Rows that one slice of a size class should hold at most, on average.
 SLICE_ROWS = 50_000
@@ -107,7 +107,7 @@ def mixed(docs: DataFrame, seed: int = 42, **names) -> DataFrame:
 
     Rows get a number of their own in a table first, so that repeated ids and rows stay apart.
     """
-    rows = saved(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row")), "rows")
+    rows = numbered(docs)
     text_col, source_col = (names.get(k, v) for k, v in (("text_col", "text"), ("source_col", "source")))
     keyed = rows.select(
         F.col("row").alias("id"), F.col(f"doc.`{text_col}`").alias("text"), F.col(f"doc.`{source_col}`").alias("source")
@@ -116,5 +116,5 @@ def mixed(docs: DataFrame, seed: int = 42, **names) -> DataFrame:
     return (
         rows.join(copies, "row")
         .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-        .select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
+        .select("doc.*")
     )

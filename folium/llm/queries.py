@@ -4,15 +4,37 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from folium.llm import exact_dedup, mixing, warc
+from folium.llm import bpe, embedding_dedup, exact_dedup, mixing, simhash, warc
+
+VOCABULARY, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_documents(table(spark, sf_dir, "documents"))
+
+
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bpe.round_trip(table(spark, sf_dir, "documents"), VOCABULARY, PATTERN, ["doc_id"])
+    return found.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_archives(spark, table(spark, sf_dir, "pages")).drop("ok")
 
@@ -27,6 +49,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": op1_simhash,
+    "op2_embedding_dedup": op2_embedding_dedup,
+    "op4_byte_bpe": op4_byte_bpe,
     "op5_warc": op5_warc,
     "op7_exact_dedup": op7_exact_dedup,
     "op10_mixing": op10_mixing,
@@ -34,8 +59,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
-_BASE32_SHA1 = """list_aggregate(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
-    list_sum(list_transform(range(5), b -> ((strpos('0123456789abcdef', substr(sha, (i * 5 + b) // 4 + 1, 1)) - 1)
+_BASE32_SHA1 = """list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    list_sum(list_transform(range(5), lambda b: ((strpos('0123456789abcdef', substr(sha, (i * 5 + b) // 4 + 1, 1)) - 1)
         >> (3 - (i * 5 + b) % 4)::INT & 1) << (4 - b)::INT))::INT + 1, 1)), 'string_agg', '')"""
 
 ORACLES: dict[str, str] = {
