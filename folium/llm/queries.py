@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folium.llm import bpe, embedding_dedup, exact_dedup, mixing, simhash, warc
+from folium.llm import bpe, embedding_dedup, exact_dedup, mixing, simhash, token_counts, toxicity, warc
 
 VOCABULARY, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
@@ -25,6 +25,11 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.severities(docs, toxicity.fitted(docs, table(spark, sf_dir, "labels")), ["doc_id"])
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = bpe.round_trip(table(spark, sf_dir, "documents"), VOCABULARY, PATTERN, ["doc_id"])
     return found.select(
@@ -39,6 +44,17 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_archives(spark, table(spark, sf_dir, "pages")).drop("ok")
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with a note put in and some characters taken out, at places that follow from its id."""
+    docs = table(spark, sf_dir, "documents")
+    size = F.length(F.coalesce("text", F.lit("")))
+    place = lambda k: F.pmod(F.coalesce("doc_id", F.lit(0)) * k, size + 1).cast("int")
+    edit = lambda at, n, text: F.struct(at.alias("at"), F.lit(n).alias("n_deleted"), F.lit(text).alias("inserted"))
+    edits = F.array(edit(place(7919), 0, " (note 1: revised)\n"), edit(place(104729), 24, ""))
+    found = token_counts.edited_counts(docs, VOCABULARY, PATTERN, edits)
+    return found.withColumn("n_leaves", F.size("leaf_tokens").cast("long")).drop("leaf_chars", "leaf_tokens")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -51,8 +67,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_embedding_dedup": op2_embedding_dedup,
+    "op3_toxicity": op3_toxicity,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_warc": op5_warc,
+    "op6_token_counts": op6_token_counts,
     "op7_exact_dedup": op7_exact_dedup,
     "op10_mixing": op10_mixing,
 }
