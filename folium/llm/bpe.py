@@ -14,6 +14,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed by the public pattern: white space as the Unicode property has it, and the classes within Latin-1.
 LATIN_SPACE = r"\t-\r \x85\xa0"
@@ -212,7 +213,7 @@ def _run(df: DataFrame, spark: SparkSession, path: str, pattern: str, keep: list
     """``df`` batch by batch through ``work(codec, values) -> columns``; the columns ``keep`` go along."""
     with open(path, "rb") as f:
         raw = spark.sparkContext.broadcast(f.read())  # a vocabulary, of fixed size
-    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), made])
+    schema = T.StructType([*(df.schema[c] for c in keep), *T.StructType.fromDDL(made)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

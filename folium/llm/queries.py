@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folium.llm import bpe, embedding_dedup, exact_dedup, mixing, simhash, substring_dedup, token_counts, toxicity, warc
+from folium.llm import bpe, embedding_dedup, exact_dedup, line_dedup, mixing, simhash, substring_dedup, token_counts, toxicity, warc
 
 VOCABULARY, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
@@ -64,6 +64,12 @@ def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.without_near_lines(table(spark, sf_dir, "documents"))
+    kept = F.coalesce("text", F.lit(""))
+    return found.select(F.col("doc.doc_id").alias("doc_id"), "n_lines", "n_removed", F.sha2(kept, 256).alias("kept_sha256"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mix(table(spark, sf_dir, "documents"))
     return found.selectExpr("doc_id", "size", "source_size", "target", "copies * size AS taken")
@@ -78,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_counts": op6_token_counts,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_suffix_array": op8_suffix_array,
+    "op9_line_dedup": op9_line_dedup,
     "op10_mixing": op10_mixing,
 }
 

@@ -12,6 +12,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Labelled rows that a model is fitted on at most: a sample by hash of the id, the bound of the fit's memory.
 SAMPLE = 12_000
@@ -148,6 +149,12 @@ def fitted(docs: DataFrame, labels: DataFrame, **options) -> Model:
     return fit(rows, grades)
 
 
+def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that aren't toxic; same columns."""
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{text_col}`").alias("text"))
+    return severities(packed, model, ["doc"]).where("not toxic").select("doc.*")
+
+
 def severities(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns ``keep``, severity, grade, p_toxic and toxic for each row of ``docs``.
 
@@ -157,7 +164,7 @@ def severities(docs: DataFrame, model: Model, keep: list[str], text_col: str = "
     """
     given = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES weights at most
     made = {"severity": pa.float64(), "grade": pa.int32(), "p_toxic": pa.float64(), "toxic": pa.bool_()}
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "severity double, grade int, p_toxic double, toxic boolean"])
+    schema = T.StructType([*(docs.schema[c] for c in keep), *T.StructType.fromDDL("severity double, grade int, p_toxic double, toxic boolean")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, features = given.value.weights, {}
