@@ -1,4 +1,6 @@
 """The queries over the driver's tables and the SQL that each is held against."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from folium.plans import layout_queries, text_queries
+
+QUERIES = {**text_queries.QUERIES, **layout_queries.QUERIES}
+ORACLES = {**text_queries.ORACLES, **layout_queries.ORACLES}
