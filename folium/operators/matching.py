@@ -14,8 +14,8 @@ def matched_boxes(inline: DataFrame, located: DataFrame, keys: list[str], most:
     """``inline`` (k, box) with the box that the locator found for it, else its own.
 
     Where both have as many, the k-th in reading order is the k-th; otherwise pairs whose vertical
-    centres are at most ``most`` apart are taken greedily, the closest first. A page is small: the
-    greedy part takes the candidate pairs of one page at a time.
+    centres are at most ``most`` apart are taken greedily, the closest first, by a fold over the
+    page's candidate pairs.
     """
     w = Window.partitionBy(*keys).orderBy(geometry.reading_key(F.col("box")))
     found = located.withColumn("j", F.row_number().over(w) - 1).select(*keys, "j", F.col("box").alias("other"))
@@ -26,15 +26,16 @@ def matched_boxes(inline: DataFrame, located: DataFrame, keys: list[str], most:
     centre = lambda b: (F.col(f"{b}.y0") + F.col(f"{b}.y1")) / 2
     pairs = own.where("n_found <> n_own").join(found.drop("n_found"), keys).withColumn("gap", F.abs(centre("box") - centre("other"))).where(F.col("gap") <= most)
 
-    def greedy(page: pd.DataFrame) -> pd.DataFrame:
-        used_i, used_j, rows = set(), set(), []
-        for r in page.sort_values(["gap", "i", "j"]).itertuples(index=False):
-            if r.i not in used_i and r.j not in used_j:
-                used_i.add(r.i), used_j.add(r.j), rows.append(r)
-        return pd.DataFrame(rows, columns=page.columns)[[*keys, "i", "j"]]
+    start = F.struct(F.array().cast("array<int>").alias("i"), F.array().cast("array<int>").alias("j"), F.array().cast("array<struct<i:int,j:int>>").alias("out"))
 
-    kinds = ", ".join(f"{k} {own.schema[k].dataType.simpleString()}" for k in keys)
-    chosen = pairs.select(*keys, "gap", "i", "j").groupBy(*keys).applyInPandas(greedy, f"{kinds}, i int, j int")
+    def step(acc: Column, p: Column) -> Column:
+        free = ~F.array_contains(acc["i"], p["i"]) & ~F.array_contains(acc["j"], p["j"])
+        both = F.struct(p["i"].alias("i"), p["j"].alias("j"))
+        taken = F.struct(F.array_append(acc["i"], p["i"]).alias("i"), F.array_append(acc["j"], p["j"]).alias("j"), F.array_append(acc["out"], both).alias("out"))
+        return F.when(free, taken).otherwise(acc)
+
+    by_gap = pairs.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("gap", "i", "j"))).alias("pairs"))
+    chosen = by_gap.select(*keys, F.explode(F.aggregate("pairs", start, step, lambda acc: acc["out"])).alias("p")).select(*keys, "p.i", "p.j")
     same = own.where("n_found = n_own").select(*keys, "i", F.col("i").alias("j"))
     links = same.unionByName(chosen).join(found.drop("n_found"), [*keys, "j"])
     return own.join(links.select(*keys, "i", "other"), [*keys, "i"], "left").select(*keys, "k", F.coalesce("other", "box").alias("box"), F.col("other").isNotNull().alias("located"))

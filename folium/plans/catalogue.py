@@ -1,6 +1,6 @@
 """The queries over the driver's tables and the SQL that each is held against."""
 
-from folium.plans import layout_queries, text_queries
+from folium.plans import job_queries, layout_queries, text_queries
 
-QUERIES = {**text_queries.QUERIES, **layout_queries.QUERIES}
-ORACLES = {**text_queries.ORACLES, **layout_queries.ORACLES}
+QUERIES = {**text_queries.QUERIES, **layout_queries.QUERIES, **job_queries.QUERIES}
+ORACLES = {**text_queries.ORACLES, **layout_queries.ORACLES, **job_queries.ORACLES}

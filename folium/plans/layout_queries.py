@@ -115,12 +115,19 @@ BOX = {
     "x0": "l_partkey * 7 % 1100 - 50", "y0": "l_suppkey * 13 % 900",
     "x1": "l_partkey * 7 % 1100 - 50 + cast(l_quantity as int) * 9 - 60", "y1": "l_suppkey * 13 % 900 + l_linenumber * 30",
 }
-BOX_SQL = "boxes AS (SELECT page, k, least(cx0, cx1) AS x0, least(cy0, cy1) AS y0, greatest(cx0, cx1) AS x1, greatest(cy0, cy1) AS y1 FROM (SELECT l_orderkey AS page, l_linenumber AS k, " + ", ".join(f"greatest(0, least(1000, {e})) AS c{n}" for n, e in BOX.items()) + " FROM lineitem))"
+ITEMS = "(SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey, min(l_quantity) AS l_quantity FROM lineitem GROUP BY ALL)"
+BOX_SQL = "boxes AS (SELECT page, k, least(cx0, cx1) AS x0, least(cy0, cy1) AS y0, greatest(cx0, cx1) AS x1, greatest(cy0, cy1) AS y1 FROM (SELECT l_orderkey AS page, l_linenumber AS k, " + ", ".join(f"greatest(0, least(1000, {e})) AS c{n}" for n, e in BOX.items()) + f" FROM {ITEMS}))"
+
+
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each order and line: the driver's pairs repeat."""
+    least = [F.min(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_quantity")]
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*least)
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = geometry.box(*[F.expr(e) for e in BOX.values()])
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("k"), geometry.clamped(raw).alias("box"))
+    return items(spark, sf_dir).select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("k"), geometry.clamped(raw).alias("box"))
 
 
 def box_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,10 +137,10 @@ def box_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page", "k", F.round(geometry.iou(F.col("box"), F.col("next")), 9).alias("iou"), geometry.usable(F.col("box")).alias("usable"))
 
 
-IOU_SQL = f"""WITH {BOX_SQL}, both AS (SELECT a.page, a.k, a.x1 - a.x0 >= 15 AND a.y1 - a.y0 >= 15 AS usable,
+IOU_SQL = f"""WITH {BOX_SQL}, pairs AS (SELECT a.page, a.k, a.x1 - a.x0 >= 15 AND a.y1 - a.y0 >= 15 AS usable,
     greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0) AS shared,
     (a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) AS areas FROM boxes a JOIN boxes b ON a.page = b.page AND b.k = a.k + 1)
-SELECT page, k, round(CASE WHEN areas - shared > 0 THEN shared / (areas - shared)::DOUBLE ELSE 0 END, 9) AS iou, usable FROM both"""
+SELECT page, k, round(CASE WHEN areas - shared > 0 THEN shared / (areas - shared)::DOUBLE ELSE 0 END, 9) AS iou, usable FROM pairs"""
 
 
 def reading_order_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,7 +191,7 @@ def figure_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FIGURE_SQL = f"""WITH {BOX_SQL} SELECT page, k, CASE WHEN x1 - x0 >= 15 AND y1 - y0 >= 15
-    THEN '\\begin{{center}}\\includegraphics[width=' || printf('%.2f', least(greatest((x1 - x0) / 1000.0::DOUBLE / 0.86::DOUBLE * 0.82::DOUBLE, 0.2::DOUBLE), 0.78::DOUBLE)) || '\\linewidth]{{p' || lpad((page % 1000)::VARCHAR, 4, '0') || '_f' || k || '.png}}\\end{{center}}'
+    THEN '\\begin{{center}}\\includegraphics[width=' || printf('%.2f', round(least(greatest((x1 - x0) / 1000.0::DOUBLE / 0.86::DOUBLE * 0.82::DOUBLE, 0.2::DOUBLE), 0.78::DOUBLE) + 1e-9, 2)) || '\\linewidth]{{p' || lpad((page % 1000)::VARCHAR, 4, '0') || '_f' || k || '.png}}\\end{{center}}'
     ELSE '\\textit{{[figure omitted]}}' END AS command FROM boxes"""
 
 
@@ -233,11 +240,11 @@ SELECT page, count(*) AS cells, sum(n)::BIGINT AS mass, min(cy) AS cy, min(cx) A
 
 
 def best_strip_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("strip"), F.col("l_linenumber").alias("variant"), (F.col("l_quantity") > 40).alias("ok"), (F.col("l_quantity") % 10).alias("score"))
+    rows = items(spark, sf_dir).select(F.col("l_orderkey").alias("strip"), F.col("l_linenumber").alias("variant"), (F.col("l_quantity") > 40).alias("ok"), (F.col("l_quantity") % 10).alias("score"))
     return planning.best_reads(rows, ["strip"])
 
 
-BEST_SQL = """WITH reads AS (SELECT l_orderkey AS strip, l_linenumber AS variant, l_quantity > 40 AS ok, l_quantity % 10 AS score FROM lineitem),
+BEST_SQL = f"""WITH reads AS (SELECT l_orderkey AS strip, l_linenumber AS variant, l_quantity > 40 AS ok, l_quantity % 10 AS score FROM {ITEMS}),
 tried AS (SELECT *, coalesce(bool_or(ok) OVER (PARTITION BY strip ORDER BY variant ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS done FROM reads),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY strip ORDER BY score DESC, variant) AS r FROM tried WHERE NOT done AND score > 0)
 SELECT strip, variant, ok, score FROM ranked WHERE r = 1"""
