@@ -25,12 +25,12 @@ def ink_runs(profile: DataFrame, keys: list[str], gap: int = 2, least: int = 4,
 
 def merged_bands(profile: DataFrame, keys: list[str], gap: int, at: str = "y", ink: str = "ink") -> DataFrame:
     """Runs of ink, those with fewer than ``gap`` clear rows between them as one."""
-    return ink_runs(profile, keys, max(gap, 1) - 1 if gap > 1 else 0, 1, at, ink)
+    return ink_runs(profile, keys, max(gap, 1), 1, at, ink)
 
 
 def row_bands(profile: DataFrame, keys: list[str], gap: int, at: str = "y", ink: str = "ink", height: str = "height") -> DataFrame:
     """Bands split by ``gap`` blank rows; a band that the page's end cuts off stops a row early."""
-    runs = ink_runs(profile, keys, gap - 1, 1, at, ink)
+    runs = ink_runs(profile, keys, gap, 1, at, ink)
     ends = profile.groupBy(*keys).agg((F.max(at) + 1).alias(height))
     cut = F.when(F.col(height) - F.col("stop") < gap, F.col(height) - 1).otherwise(F.col("stop"))
     return runs.join(ends, keys).select(*keys, "start", cut.alias("stop"))

@@ -34,23 +34,24 @@ def read_pages(pages: DataFrame, engine: Recognizer, keys: list[str], at: str =
 
 
 def finished(pages: DataFrame, keys: list[str], latex: str = "latex") -> DataFrame:
-    """Stage 5's rewrites in their order: body, figures out of math, bold labels, layout."""
+    """The rewrites of a reading in their order: body, figures out of math, bold labels, layout."""
     body = text.figures_out_of_math(text.body_only(text.reply_latex(F.col(latex))))
     out = sequence.bold_labels(pages.withColumn(latex, body), keys, latex)
-    fitted = repair.fit_tables(text.indicator(F.col(latex)))
-    return out.withColumn("_fit", fitted).withColumn(latex, text.corner_heading(text.margin_labels_spaced(F.col("_fit.text")))).drop("_fit")
+    return out.withColumn(latex, text.corner_heading(text.margin_labels_spaced(text.indicator(F.col(latex)))))
 
 
 def verified(pages: DataFrame, compiler: Compiler, keys: list[str], at: str = "page_index", latex: str = "latex") -> DataFrame:
     """``pages`` with compile_ok, attempts, autofixed, errors and status.
 
     Each page is compiled by itself, open environments closed, so a job costs what its pages cost;
-    the cheap repair is tried only on pages that fail, and kept by the rule of ``autofix_accepted``.
+    wide tables are fitted first, which needs balanced nesting; the cheap repair is tried only on
+    pages that fail, and kept by the rule of ``autofix_accepted``.
     """
     kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema), "errors array<string>, repaired string, repaired_errors array<string>"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            batch[latex] = [repair.fitted(t)[0] for t in batch[latex]]
             errors = [compiler.compile(t or "") for t in batch[latex]]
             fixed = [repair.repaired(t)[0] if e else t for t, e in zip(batch[latex], errors)]
             again = [compiler.compile(f or "") if e else [] for f, e in zip(fixed, errors)]

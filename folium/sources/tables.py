@@ -23,7 +23,9 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     checked = found.withColumn("path", F.when(suffix.isin(*SUFFIXES), F.col("path")).otherwise(F.raise_error(F.concat(F.lit("unsupported picture: "), F.col("path")))))
     numbered = checked.withColumn("page_index", F.row_number().over(Window.orderBy("path")))
     images = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(path)
-    return numbered.join(images.withColumn("path", F.col("image.origin")), "path").select("page_index", "path", "image")
+    same = lambda c: F.regexp_replace(c, r"^(\w+:)/+", "$1/")  # noqa: E731  the two sources spell a path's start differently
+    images = images.select(same(F.col("image.origin")).alias("_origin"), "image")
+    return numbered.join(images, same(F.col("path")) == F.col("_origin")).select("page_index", "path", "image")
 
 
 class PageRenderer:
