@@ -143,7 +143,7 @@ def doubled(rank: np.ndarray, depth: int) -> np.ndarray:
         after = np.zeros(n, dtype=np.int64)
         after[:-reach] = rank[reach:] + 1
         key = rank * np.int64(n + 2) + after
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ordered = key[order]
         new = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
         rank = np.empty(n, dtype=np.int64)
@@ -300,6 +300,29 @@ def items_of(docs: list[tuple[int, int, bytes]], heavy: np.ndarray, shards: int,
         yield int(docs[0][0]) % shards, None, spans
 
 
+def may_match(w: np.ndarray, begin: np.ndarray, size: np.ndarray, gram: np.ndarray, key: np.ndarray, length: int) -> np.ndarray:
+    """Whether an item shares enough around its anchor with one of another document to have a window in common.
+
+    A window reaches at least half of what it has besides the anchor to one side of it, so two that
+    match have the anchor and that many bytes behind it in common, or before it.
+    """
+    side = (length - GRAM) // 2
+    found = np.zeros(len(key), dtype=bool)
+    for first in (gram, gram - side):
+        has = np.flatnonzero((first >= begin) & (first + side + GRAM <= begin + size))
+        if len(has):
+            h = np.zeros(len(has), dtype=np.uint64)
+            for k in [*range(0, side + GRAM - 7, 8), side + GRAM - 8]:
+                h = (h ^ w[first[has] + k]) * np.uint64(0x9E3779B97F4A7C15)
+                h ^= h >> np.uint64(31)
+            order = np.argsort(h)
+            cuts = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
+            keys = key[has[order]]
+            many = np.minimum.reduceat(keys, cuts) < np.maximum.reduceat(keys, cuts)
+            found[has[order]] |= np.repeat(many, np.diff(np.append(cuts, len(order))))
+    return found
+
+
 def solve(blobs: list[bytes], length: int) -> list[np.ndarray]:
     """Spans (document, tag, from, to) of a shard's items: windows that a smaller document has too."""
     given = [unpack(b, ITEM) for b in blobs]
@@ -311,17 +334,7 @@ def solve(blobs: list[bytes], length: int) -> list[np.ndarray]:
     count = count.astype(np.int64)
     size = count + (length - 1)
     begin = np.cumsum(size) - size
-    w = words(data)
-    gram = begin + offset
-    a, b = w[gram], w[np.minimum(gram + GRAM - 8, len(w) - 1)]
-    order = np.lexsort((b, a))
-    fresh = np.concatenate([[True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])])
-    group = np.empty(len(order), dtype=np.int64)
-    group[order] = np.cumsum(fresh) - 1
-    least, most = np.full(group.max() + 1, LAST), np.full(group.max() + 1, -LAST - 1)
-    np.minimum.at(least, group, key)
-    np.maximum.at(most, group, key)
-    kept = np.flatnonzero((least < most)[group])
+    kept = np.flatnonzero(may_match(words(data), begin, size, begin + offset, key, length))
     if not len(kept):
         return none
     raw = data.tobytes()
