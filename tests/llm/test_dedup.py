@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -185,3 +186,35 @@ def test_suffix_arrays():
         t = np.append(rnd.integers(1, rnd.choice([2, 3, 6, 27]), rnd.integers(1, 300)), 0)
         order = substring_dedup.suffix_array(t, len(t)).tolist()
         assert order == sorted(range(len(t)), key=lambda i: t[i:].tolist()), trial
+
+
+def changed_lines():
+    """Pairs of a line and a changed one, of 5 to 60 words, in documents of their own, with their distance: by words, then by letters."""
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("etaoinshrdlu") for _ in range(rnd.randint(3, 8)))
+    out = []
+    for kind in ("words", "letters"):
+        while len([p for p in out if p[0] == kind]) < 120:
+            words = [word() for _ in range(rnd.choice([5, 6, 8, 10, 14, 19, 21, 30, 60]))]
+            if kind == "words":
+                new = list(words)
+                for k in rnd.sample(range(len(new)), rnd.randint(1, max(1, len(new) // 5))):
+                    new[k] = word()
+                a, b = " ".join(words), " ".join(new)
+            else:
+                a, rate = " ".join(words), rnd.choice([0.03, 0.06, 0.1])
+                b = "".join(rnd.choice("xyz") if x != " " and rnd.random() < rate else x for x in a)
+            far = distance(a, b)
+            if 0 < far <= int(0.2 * max(len(a), len(b)) + 1e-9):
+                out.append((kind, a, b, far))
+    return out
+
+
+def test_lines_that_differ_in_words_and_letters(spark):
+    pairs = changed_lines()
+    rows = [(2 * i + j, p[1 + j]) for i, p in enumerate(pairs) for j in (0, 1)]
+    got = {r.doc_id: r.text for r in line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), size_col=None).collect()}
+    missed = [p for i, p in enumerate(pairs) if got[2 * i + 1]]
+    assert all(got[2 * i] for i in range(len(pairs)))
+    assert not [p for p in missed if p[0] == "words"]
+    assert len(missed) <= 6, missed
