@@ -65,7 +65,7 @@ def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.without_near_lines(table(spark, sf_dir, "documents"))
+    found = line_dedup.without_near_lines(table(spark, sf_dir, "documents"), shortest=1)
     kept = F.coalesce("text", F.lit(""))
     return found.select(F.col("doc.doc_id").alias("doc_id"), "n_lines", "n_removed", F.sha2(kept, 256).alias("kept_sha256"))
 

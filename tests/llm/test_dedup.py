@@ -6,9 +6,10 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from folium.llm import exact_dedup, line_dedup, simhash, substring_dedup
+import corpus_pipeline
+from folium.llm import exact_dedup, line_dedup, queries, simhash, substring_dedup
 from folium.llm.common import connected_components
-from tests.llm.conftest import sentence
+from tests.llm.conftest import SCHEMA, sentence
 
 
 def lowered(t):
@@ -218,3 +219,15 @@ def test_lines_that_differ_in_words_and_letters(spark):
     assert all(got[2 * i] for i in range(len(pairs)))
     assert not [p for p in missed if p[0] == "words"]
     assert len(missed) <= 6, missed
+
+
+def test_short_lines_go_if_equal(spark, tmp_path):
+    texts = ["and ornd\n\n中文混合\n--\none two three four", "x\nAnd, ornd\n\n中文混合\n--\none two three for", "and ornd\nx"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], SCHEMA)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want = [texts[0], "x\n\n--\none two three for", ""]
+    stage = corpus_pipeline.drop_near_lines(spark, docs, str(tmp_path))
+    assert [r.text for r in stage.orderBy("doc_id").collect()] == want
+    got = queries.op9_line_dedup(spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [r.kept_sha256 for r in got] == [hashlib.sha256(t.encode()).hexdigest() for t in want]
+    assert [r.n_removed for r in got] == [0, 2, 2]
