@@ -6,14 +6,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: A band over this part of a page's height is cut through: it would leave nowhere to cut.
+TALLEST_BAND = 0.4
+
+
+def low_bands(bands: DataFrame, pages: DataFrame, keys: list[str]) -> DataFrame:
+    """the ``bands`` [top, bottom) that protect their rows; ``pages`` has (height)."""
+    return bands.join(pages.select(*keys, F.col("height").alias("_height")), keys).where(F.col("bottom") - F.col("top") <= F.col("_height") * TALLEST_BAND).drop("_height")
+
+
 def cut_candidates(profile: DataFrame, pages: DataFrame, bands: DataFrame | None, keys: list[str]) -> DataFrame:
     """(k, y) for each cut that a page needs: the emptiest row near its target, then the nearest, then the first.
 
     ``profile`` has (y, ink), ``pages`` (height, n): strips wanted; rows in a band [top, bottom) of
-    ``bands`` can't be cut.
+    ``bands`` can't be cut, if the band is low enough.
     """
     if bands is not None:
-        b = bands.select(*keys, F.col("top").alias("_top"), F.col("bottom").alias("_bottom"))
+        b = low_bands(bands, pages, keys).select(*keys, F.col("top").alias("_top"), F.col("bottom").alias("_bottom"))
         inside = [profile[k] == b[k] for k in keys] + [(profile["y"] >= b["_top"]) & (profile["y"] < b["_bottom"])]
         profile = profile.join(b, inside, "left_anti")
     step = F.col("height") / F.col("n")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folium.functions import geometry, images
 from folium.operators import islands, matching, planning
+from folium.plans import layout_queries
 
 
 def png(a):
@@ -104,6 +105,20 @@ def test_cuts(spark):
     assert got == [(1, 0, 40), (2, 40, 70), (3, 70, 100)]
 
 
+def test_cuts_through_a_tall_band(spark, tmp_path):
+    values = [0.0 if y % 10 == 0 else 5.0 for y in range(100)]
+    pages = spark.createDataFrame([(p, 100, 3, 2.0) for p in (1, 2)], "page int, height long, n int, pitch double")
+    bands = spark.createDataFrame([(1, 20, 60), (2, 20, 61)], "page int, top long, bottom long")
+    both = profile(spark, values).union(profile(spark, values).withColumn("page", F.lit(2)))
+    cuts = planning.cut_candidates(both, pages, bands, ["page"]).orderBy("page", "k").select("page", "k", "y").collect()
+    # 40 rows still protect: the first cut of page 1 has none of the rows near 33 but those above 20
+    assert [tuple(c) for c in cuts] == [(1, 2, 70), (2, 1, 30), (2, 2, 70)]
+    line = "x" * 301
+    text = "\n".join([line if y in (1, 16) else "" for y in range(18)])
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert layout_queries.plan_strips(spark, str(tmp_path)).count() == 3
+
+
 def test_streaks(spark):
     kinds = ["bad", "bad", "skip", "bad", "good", "bad", "skip"]
     rows = spark.createDataFrame([(1, i, k) for i, k in enumerate(kinds)], "job int, page int, kind string")
