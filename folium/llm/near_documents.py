@@ -1,0 +1,110 @@
+"""Near-duplicate documents: MinHash bands over word shingles, exact Jaccard similarity of those that share one."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from folium.llm.common import apart, connected_components, numbered, saved
+from folium.llm.simhash import signed
+
+SHINGLE, SIMILARITY, SEED = 5, (4, 5), 42
+#: Two texts of similarity 0.8 share none of the bands with a chance of (1 - 0.8**4)**16, 1 in 4,800.
+BANDS, ROWS = 16, 4
+_random = np.random.default_rng(SEED)
+FACTORS = _random.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+TERMS = _random.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
+
+
+def shingles(text: bytes) -> np.ndarray:
+    """The distinct hashes of the runs of SHINGLE words, A-Z lower-cased; a text with fewer words is one, none without words."""
+    words = text.lower().split()
+    runs = (b" ".join(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))) if words else ()
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(r, SEED) for r in runs), dtype=np.uint64))
+
+
+def bands(hashes: np.ndarray) -> list[int]:
+    if not len(hashes):
+        return []
+    least = np.full(len(FACTORS), 2**64 - 1, dtype=np.uint64)
+    for at in range(0, len(hashes), 1024):
+        least = np.minimum(least, (hashes[at : at + 1024, None] * FACTORS + TERMS).min(axis=0))
+    return [signed(xxhash.xxh64_intdigest(least[k * ROWS : (k + 1) * ROWS].tobytes(), k)) for k in range(BANDS)]
+
+
+def alike(a: bytes, b: bytes) -> bool:
+    x, y = shingles(a), shingles(b)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both * SIMILARITY[1] >= (len(x) + len(y) - both) * SIMILARITY[0]
+
+
+def _bytes(value) -> bytes:
+    return value.as_buffer().to_pybytes() if value.is_valid else b""
+
+
+def _sketches(texts: DataFrame) -> DataFrame:
+    """(row, name, bands): equal words in equal order have equal names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_bytes(t) for t in batch.column("text")]
+            names = pa.array([xxhash.xxh3_128_digest(b" ".join(t.lower().split())) for t in found], pa.binary())
+            marks = pa.array([bands(shingles(t)) for t in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), names, marks], ["row", "name", "bands"])
+
+    return texts.mapInArrow(run, "row long, name binary, bands array<long>")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The ``pairs`` (a, b) of rows whose texts are alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [alike(_bytes(x), _bytes(y)) for x, y in zip(batch.column("a_text"), batch.column("b_text"))]
+            yield batch.select(["a", "b"]).filter(pa.array(held, pa.bool_()))
+
+    side = lambda c: texts.select(apart(F.col("row")).alias(f"{c}_key"), F.col("text").alias(f"{c}_text"))
+    keyed = saved(pairs.distinct(), "document-pairs").withColumns({"a_key": apart(F.col("a")), "b_key": apart(F.col("b"))})
+    both = keyed.join(side("a"), "a_key").join(side("b"), "b_key").select("a", "b", "a_text", "b_text")
+    return saved(both.mapInArrow(run, "a long, b long"), "document-links")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The row of least id of each component of ``docs``, just one; same columns.
+
+    Rows link if the Jaccard similarity of their sets of word shingles is 0.8 or more, or if they
+    have the same words; null, empty and blank texts have the same, none. Null ids come last. Each
+    text meets the first row of each of its bands; then all that share a band and are not yet in
+    one component meet, so that a group of near copies doesn't give all its pairs.
+    """
+    rows = numbered(docs)
+    texts = rows.select("row", F.col(f"doc.`{text_col}`").cast("binary").alias("text"))
+    found = saved(_sketches(texts), "document-sketches")
+    names = saved(found.groupBy("name").agg(F.min("row").alias("node"), F.max("row").alias("last")), "document-names")
+    more = names.where("node < last").select(F.col("name").alias("n"), "node")
+    same = found.join(more, F.col("name") == F.col("n")).select(F.col("row").alias("a"), F.col("node").alias("b"))
+    placed = found.join(names.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), F.explode("bands").alias("band"))
+    least = placed.groupBy("band").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last")
+    shared = placed.withColumn("k", apart(F.col("band"))).join(least.select(apart(F.col("band")).alias("k"), "pivot"), "k")
+    shared = saved(shared.select("node", "band", "pivot"), "document-bands")
+    links = _verified(shared.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")), texts)
+
+    known = connected_components(links)
+    rest = saved(shared.join(known, "node", "left").withColumn("root", F.coalesce("root", "node")), "document-rest")
+    one, two = (rest.select("band", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "root", "pivot")]) for s in "ab")
+    pairs = one.join(two, "band").where("node_a < node_b and node_a <> pivot_a and root_a <> root_b")
+    links = links.unionByName(_verified(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), texts))
+
+    roots = connected_components(links.unionByName(same)).select(apart(F.col("node")).alias("k"), "root")
+    ids = rows.select("row", F.col(f"doc.`{id_col}`").cast("long").alias("id"), apart(F.col("row")).alias("k")).join(roots, "k", "left")
+    first = (
+        ids.groupBy(F.coalesce("root", "row").alias("group"))
+        .agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"))
+        .select(F.col("first.row").alias("row"))
+    )
+    return rows.join(first, "row", "left_semi").select("doc.*")

@@ -123,3 +123,25 @@ def test_odd_rows_pass_all_stages(spark, odd, sf_dir):
     for _, fn in corpus_pipeline.STAGES:
         docs = fn(spark, docs, sf_dir)
     assert docs.count() > 0
+
+
+def test_near_documents_are_those_of_similar_shingles(spark):
+    rnd, texts = random.Random(3), []
+    word = lambda: "".join(rnd.choice("etaoinshrdlu") for _ in range(5))
+    for _ in range(40):
+        words = [word() for _ in range(rnd.choice([60, 150, 400]))]
+        new = [word() if rnd.random() < 0.02 else w for w in words]
+        texts += [" ".join(words), " ".join(new).upper(), " ".join([*words[: len(words) // 2], *(word() for _ in range(30))])]
+    texts += ["few words", "few  Words", "", None, " "]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+
+    def runs(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets = [runs(t) for t in texts]
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    prints = [print_of(t) for t in texts]
+    assert [p for p in links if (prints[p[0]] ^ prints[p[1]]).bit_count() > 3]
+    got = {r.doc_id for r in corpus_pipeline.drop_near_documents(spark, docs, "").collect()}
+    assert got == set(groups(len(texts), links))
