@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from folium.llm import bpe, toxicity
+from folium.llm import bpe, simhash, toxicity
 from folium.llm.mixing import SLICE_ROWS
 from tests.llm.conftest import SCHEMA, sentence
 from tests.llm.test_dedup import distance, groups, norm, print_of
@@ -36,15 +36,9 @@ def lines_kept(rows):
     """Line dedup in plain Python: rows (id, text, ...) with the text that stays."""
     key = lambda r: r[0] if r[0] is not None else 2**63 - 1
     seen = [(key(r), k, norm(x)) for r in rows if r[1] is not None for k, x in enumerate(r[1].split("\n"))]
-    seen = [s for s in seen if s[2].count(" ") >= 4]
+    seen = [s for s in seen if s[2]]
     names = sorted({s[2] for s in seen})
-
-    def fp(n):
-        h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in n.split(" ")]
-        return sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in h) > len(h))
-
-    prints = [fp(n) for n in names]
-    near = lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 3 and distance(names[i], names[j]) <= int(0.2 * max(len(names[i]), len(names[j])) + 1e-9)
+    near = lambda i, j: distance(names[i], names[j]) <= int(0.2 * max(len(names[i]), len(names[j])) + 1e-9)
     root = groups(len(names), [(i, j) for i in range(len(names)) for j in range(i) if near(i, j)])
     first = {}
     for i, k, n in seen:
@@ -86,8 +80,8 @@ def test_stages_against_plain_python(spark, sf_dir):
     clean = [r for r in rows if model.above(score(r[1]))[0] < 0.5]
     assert {r[0] for r in rows} - {r[0] for r in clean} == {i for i in range(0, 48, 6)}
     lined = lines_kept(clean)
-    prints = [print_of(r[1]) for r in lined]
-    root = groups(len(lined), [(i, j) for i in range(len(lined)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 3])
+    runs = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for w in ((r[1] or "").lower().split() for r in lined)]
+    root = groups(len(lined), [(i, j) for i in range(len(lined)) for j in range(i) if len(runs[i] & runs[j]) >= 0.8 * len(runs[i] | runs[j])])
     best = {}
     for r, g in zip(lined, root):
         best[g] = min(best.get(g, r), r, key=lambda x: (x[0] is None, x[0] or 0))
@@ -141,7 +135,29 @@ def test_near_documents_are_those_of_similar_shingles(spark):
 
     sets = [runs(t) for t in texts]
     links = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
-    prints = [print_of(t) for t in texts]
-    assert [p for p in links if (prints[p[0]] ^ prints[p[1]]).bit_count() > 3]
+    prints = [simhash.majority(simhash.shingle_set((t or "").encode(), 5)) for t in texts]
+    far = [(prints[i] ^ prints[j]).bit_count() for i, j in links]
+    assert sum(x > 3 for x in far) > 5 and sum(x > simhash.STAGE_RADIUS for x in far) <= 0.1 * len(far)
+    links = [p for p, x in zip(links, far) if x <= simhash.STAGE_RADIUS]
     got = {r.doc_id for r in corpus_pipeline.drop_near_documents(spark, docs, "").collect()}
     assert got == set(groups(len(texts), links))
+
+
+def test_wide_masks_cover_and_large_buckets_are_masked_again(spark):
+    masks = simhash.wide_masks(list(range(64)), 11)
+    rnd = np.random.default_rng(4)
+    for _ in range(300):
+        bits = rnd.choice(64, 11, replace=False)
+        assert any(not any(m >> int(b) & 1 for b in bits) for m in masks)
+    base = int(rnd.integers(0, 2**62))
+    prints = {base}
+    for _ in range(150):
+        prints.add(int(rnd.choice(sorted(prints))) ^ sum(1 << int(b) for b in rnd.choice(62, int(rnd.integers(3, 12)), replace=False)))
+    prints = sorted(prints | {int(x) for x in rnd.integers(0, 2**62, 150)})
+    near = {(i, j) for i in range(len(prints)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 11}
+    rows = spark.createDataFrame([(p, i, 100) for i, p in enumerate(prints)], "print long, root long, size long")
+    for bucket in (30, 4096):
+        got = {(prints.index(r.b), prints.index(r.a)) for r in simhash.similar_prints(rows, 11, True, bucket).collect()}
+        assert got == near
+        nearest = {(prints.index(r.b), prints.index(r.a)) for r in simhash.similar_prints(rows, 11, False, bucket).collect()}
+        assert nearest <= near and {i for p in nearest for i in p} == {i for p in near for i in p}
