@@ -216,21 +216,25 @@ def near_in_bucket(prints: np.ndarray, roots: np.ndarray | None, radius: int) ->
     return out
 
 
-def _bucket_pairs(groups: DataFrame, radius: int, rooted: bool) -> DataFrame:
-    """Rows (path, key, print, root) of buckets of bounded size to pairs (a, b) of prints to compare."""
+def _bucket_pairs(placed: DataFrame, radius: int, rooted: bool) -> DataFrame:
+    """Rows (bucket, print, root) of buckets of bounded size to pairs (a, b) of prints to compare."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
         for batch in batches:
             a, b = [], []
             for found in batch.column(0):
-                prints, roots = (found.values.field(c).to_numpy() for c in ("print", "root"))
-                for i, j in near_in_bucket(prints.view(np.uint64), roots if rooted else None, radius):
+                prints = found.values.field("print").to_numpy() if rooted else found.values.to_numpy()
+                if len(prints) < 2:
+                    continue
+                roots = found.values.field("root").to_numpy() if rooted else None
+                for i, j in near_in_bucket(prints.view(np.uint64), roots, radius):
                     a.append(int(min(prints[i], prints[j])))
                     b.append(int(max(prints[i], prints[j])))
             yield pa.RecordBatch.from_pydict({"a": a, "b": b}, schema=schema)
 
-    listed = groups.groupBy("path", "key").agg(F.collect_list(F.struct("print", "root")).alias("found")).select("found")
+    held = F.struct("print", "root") if rooted else F.col("print")
+    listed = placed.groupBy("bucket").agg(F.collect_list(held).alias("found")).where(F.size("found") > 1).select("found")
     return listed.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -244,26 +248,27 @@ def similar_prints(prints: DataFrame, radius: int, rooted: bool, bucket: int = B
     size = F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / math.log(1.25) + 1e-9)
     placed = prints.select("print", "root", F.explode(F.array(size, size + 1)).alias("class"), first.alias("masks"))
     placed = placed.select("print", "root", "class", F.posexplode("masks").alias("way", "mask"))
-    key = F.col("print").bitwiseAND(F.col("mask")).alias("key")
-    placed = placed.select("print", "root", "mask", F.xxhash64("class", "way").alias("path"), key)
+    # one number for what tells a bucket keeps the rows short; two buckets that share it by chance only compare more
+    bucket_of = lambda *path: F.xxhash64(*path, F.col("print").bitwiseAND(F.col("mask"))).alias("bucket")
+    placed = placed.select("print", "root", "mask", bucket_of("class", "way"))
     deeper = F.udf(lambda m: [signed((m & 2**64 - 1) | x) for x in wide_masks([b for b in range(64) if not m >> b & 1], radius)], "array<long>")
     out = None
     while True:
         # a mask with under 12 bits left isn't covered again: 2 ** 11 prints at most can share such a bucket
-        counts = placed.where(F.bit_count("mask") <= 52).groupBy("path", "key").agg(F.count("*").alias("n")).where(F.col("n") > bucket)
-        large = saved(counts.select(F.col("path").alias("p"), apart(F.col("key")).alias("k")), "large-buckets")
+        counts = placed.where(F.bit_count("mask") <= 52).groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > bucket)
+        large = saved(counts.select(apart(F.col("bucket")).alias("k")), "large-buckets")
         n_large = large.count()
         large = F.broadcast(large) if n_large <= 1_000_000 else large
-        mine = (F.col("path") == F.col("p")) & (apart(F.col("key")) == F.col("k"))
+        mine = apart(F.col("bucket")) == F.col("k")
         found = _bucket_pairs(placed.join(large, mine, "left_anti") if n_large else placed, radius, rooted)
         out = found if out is None else out.unionByName(found)
         if not n_large:
             return out.distinct()
         rest = saved(placed.join(large, mine, "left_semi"), "large-rows")
         kinds = rest.select("mask").distinct().select("mask", deeper("mask").alias("masks"))
-        rest = rest.select("print", "root", "path", "mask").join(F.broadcast(kinds), "mask")
-        rest = rest.select("print", "root", "path", F.posexplode("masks").alias("way", "mask"))
-        placed = rest.select("print", "root", "mask", F.xxhash64("path", "way").alias("path"), key)
+        rest = rest.select("print", "root", "bucket", "mask").join(F.broadcast(kinds), "mask")
+        rest = rest.select("print", "root", "bucket", F.posexplode("masks").alias("way", "mask"))
+        placed = rest.select("print", "root", "mask", bucket_of("bucket", "way"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: tuple[int, int]) -> DataFrame:
