@@ -154,23 +154,42 @@ def fits_wide_tables(text: Column) -> Column:
     return F.regexp_replace(text, table, r"\\fitpage{$1}")
 
 
+def _with_sign_escaped(text: Column, sign: str) -> Column:
+    """``text`` with a backslash before each bare ``sign``; escapes and comments are tokens of their own and stay."""
+    tokens = F.regexp_extract_all(text, F.lit(rf"(?s)\\.|\\|%[^\n]*|{sign}|[^\\%{sign}]+"), F.lit(0))
+    done = F.array_join(F.transform(tokens, lambda t: F.when(t == sign, "\\" + sign).otherwise(t)), "")
+    return F.when(text.contains(sign), done).otherwise(text)
+
+
 def bare_hash_escaped(text: Column) -> Column:
-    """A literal sign, unless the text defines macros."""
+    """A literal sign outside comments, unless the text defines macros."""
     macros = r"\\(?:re)?newcommand|\\providecommand|\\def\b|\\(?:re)?newenvironment"
-    return F.when(text.rlike(macros), text).otherwise(F.regexp_replace(text, r"(?<!\\)#", r"\\#"))
+    return F.when(text.rlike(macros), text).otherwise(_with_sign_escaped(text, "#"))
 
 
 def bare_ampersand_escaped(text: Column) -> Column:
-    """P8 for text without environments: a bare alignment sign is the word."""
-    return F.when(text.contains(r"\begin{"), text).otherwise(F.regexp_replace(text, r"(?<!\\)&", r"\\&"))
+    """P8 for text without environments: a bare alignment sign outside comments is the word."""
+    return F.when(text.contains(r"\begin{"), text).otherwise(_with_sign_escaped(text, "&"))
 
 
 def symbols_as_macros(text: Column, macros: dict[str, str]) -> Column:
-    """P13 in running text: each symbol as its macro between math signs, by one pass over the characters."""
-    table = F.create_map(*[F.lit(x) for pair in macros.items() for x in (pair[0], f"${pair[1]}$")])
+    """Each symbol as its macro, between math signs in running text and before a space in math; not in comments.
+
+    Math is what dollar signs enclose; every second piece between them.
+    """
     signs = F.lit("[" + "".join(macros) + "]")
-    chars = F.transform(F.split(text, "", -1), lambda c: F.coalesce(F.try_element_at(table, c), c))
-    return F.when(F.regexp_like(text, signs), F.array_join(chars, "")).otherwise(text)
+    table = lambda form: F.create_map(*[F.lit(x) for k, v in macros.items() for x in (k, form(v))])
+    pieces = F.regexp_extract_all(text, F.lit(r"(?s)\\.|\\|%[^\n]*|\$\$?|[^\\%$]+"), F.lit(0))
+    put = lambda t, form: F.array_join(F.transform(F.split(t, "", -1), lambda c: F.coalesce(F.try_element_at(table(form), c), c)), "")
+
+    def step(done: Column, t: Column) -> Column:
+        plain = t.rlike(r"^[\\%$]") | ~F.regexp_like(t, signs)
+        new = F.when(plain, t).when(done["math"], put(t, lambda v: f"{v} ")).otherwise(put(t, lambda v: f"${v}$"))
+        return F.struct(F.array_append(done["out"], new).alias("out"), F.when(t.startswith("$"), ~done["math"]).otherwise(done["math"]).alias("math"))
+
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("math"))
+    folded = F.aggregate(pieces, start, step, lambda done: F.array_join(done["out"], ""))
+    return F.when(F.regexp_like(text, signs), folded).otherwise(text)
 
 
 # --- labels ------------------------------------------------------------------------------------
@@ -326,7 +345,7 @@ def settings_problems(s: Column | str) -> Column:
     v = (lambda n: F.col(f"{s}.{n}")) if isinstance(s, str) else (lambda n: s[n])
     checks = [
         (~v("engine").isin("hybrid", "vlm", "trocr", "heuristic"), "engine"),
-        ((v("engine") == "vlm") & (F.coalesce(v("vlm_base_url"), F.lit("")) == ""), "endpoint"),
+        ((v("engine") == "vlm") & ((F.coalesce(v("vlm_base_url"), F.lit("")) == "") | (F.coalesce(v("vlm_model"), F.lit("")) == "")), "endpoint"),
         (~v("dpi").between(50, 1200), "dpi"),
         (v("max_retries") < 0, "max_retries"),
         (~v("vlm_parallel_workers").between(1, 16), "vlm_parallel_workers"),

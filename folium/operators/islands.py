@@ -16,21 +16,30 @@ def islands(rows: DataFrame, keys: list[str], at: str, apart: Column) -> DataFra
     return marked.withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new", "prev")
 
 
-def ink_runs(profile: DataFrame, keys: list[str], gap: int = 2, least: int = 4, at: str = "y", ink: str = "ink") -> DataFrame:
-    """Half-open runs (start, stop) of rows with ink, split where ``gap`` or more blank rows lie between."""
+def _runs(profile: DataFrame, keys: list[str], gap: int, at: str, ink: str) -> DataFrame:
     found = islands(profile.where(F.col(ink) > 0), keys, at, F.col(at) - F.col("prev") > gap)
-    runs = found.groupBy(*keys, "island").agg(F.min(at).alias("start"), (F.max(at) + 1).alias("stop"))
-    return runs.where(F.col("stop") - F.col("start") >= least).drop("island")
+    return found.groupBy(*keys, "island").agg(F.min(at).alias("start"), (F.max(at) + 1).alias("stop")).drop("island")
+
+
+def ink_runs(profile: DataFrame, keys: list[str], gap: int = 2, least: int = 4, at: str = "y", ink: str = "ink") -> DataFrame:
+    """Half-open runs (start, stop) of rows with ink, split where ``gap`` or more blank rows lie between.
+
+    A run that fewer than ``gap`` blank rows follow at the page's end reaches to the end.
+    """
+    ends = profile.groupBy(*keys).agg((F.max(at) + 1).alias("_end"))
+    stop = F.when(F.col("_end") - F.col("stop") < gap, F.col("_end")).otherwise(F.col("stop"))
+    runs = _runs(profile, keys, gap, at, ink).join(ends, keys).select(*keys, "start", stop.alias("stop"))
+    return runs.where(F.col("stop") - F.col("start") >= least)
 
 
 def merged_bands(profile: DataFrame, keys: list[str], gap: int, at: str = "y", ink: str = "ink") -> DataFrame:
     """Runs of ink, those with fewer than ``gap`` clear rows between them as one."""
-    return ink_runs(profile, keys, max(gap, 1), 1, at, ink)
+    return _runs(profile, keys, max(gap, 1), at, ink)
 
 
 def row_bands(profile: DataFrame, keys: list[str], gap: int, at: str = "y", ink: str = "ink", height: str = "height") -> DataFrame:
     """Bands split by ``gap`` blank rows; a band that the page's end cuts off stops a row early."""
-    runs = ink_runs(profile, keys, gap, 1, at, ink)
+    runs = _runs(profile, keys, gap, at, ink)
     ends = profile.groupBy(*keys).agg((F.max(at) + 1).alias(height))
     cut = F.when(F.col(height) - F.col("stop") < gap, F.col(height) - 1).otherwise(F.col("stop"))
     return runs.join(ends, keys).select(*keys, "start", cut.alias("stop"))

@@ -81,7 +81,9 @@ def seam_merges(figures: DataFrame, keys: list[str]) -> DataFrame:
     """``figures`` (strip, i, box, cut): markers in order, ``cut`` the lower edge of their strip in page units.
 
     The last marker of a strip and the first of the next become one where ``geometry.seam`` holds.
-    A figure over three strips is joined pair by pair, each pair judged on the figures as given.
+    Strips are taken in order, and a marker that went into the one before it is no longer there to take
+    the next: of a chain of strips with one marker each, the first and second become one, the third and
+    fourth, and so on; an odd last one stays as it is.
     """
     from folium.functions.geometry import seam, union
 
@@ -100,7 +102,13 @@ def seam_merges(figures: DataFrame, keys: list[str]) -> DataFrame:
     )
     joins = F.col("_last") & (F.col("_next_strip") == F.col("strip") + 1) & seam(F.col("cut"), F.col("box"), F.col("_next"))
     joined = F.col("_first") & (F.col("_before_strip") == F.col("strip") - 1) & seam(F.col("_before_cut"), F.col("_before"), F.col("box"))
-    out = marked.withColumns({"merged": F.coalesce(joins, F.lit(False)), "gone": F.coalesce(joined, F.lit(False))})
+    out = marked.withColumns({"_joins": F.coalesce(joins, F.lit(False)), "_joined": F.coalesce(joined, F.lit(False))})
+    # a chain goes on where the only marker of a strip could be joined on both sides
+    begins = F.col("_joins") & ~(F.col("_first") & F.col("_joined"))
+    out = out.withColumn("_chain", F.sum(begins.cast("int")).over(page))
+    place = F.sum(F.col("_joins").cast("int")).over(Window.partitionBy(*keys, "_chain").orderBy("strip", "i"))
+    out = out.withColumn("merged", F.col("_joins") & (place % 2 == 1))
+    out = out.withColumn("gone", F.col("_first") & F.coalesce(F.lag("merged").over(page), F.lit(False)))
     return out.where("not gone").select(*keys, "strip", "i", F.when(F.col("merged"), union(F.col("box"), F.col("_next"))).otherwise(F.col("box")).alias("box"), "merged")
 
 

@@ -23,13 +23,15 @@ profile AS (SELECT doc_id, y, CASE WHEN length(line) % 7 < 5 THEN length(line) E
 
 
 def ink_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return islands.ink_runs(profile(spark, sf_dir), ["doc_id"], gap=1, least=2)
+    return islands.ink_runs(profile(spark, sf_dir), ["doc_id"], gap=2, least=2)
 
 
-INK_SQL = f"""WITH {PROFILE_SQL},
+INK_SQL = f"""WITH {PROFILE_SQL}, pages AS (SELECT doc_id, max(y) + 1 AS height FROM profile GROUP BY doc_id),
 marked AS (SELECT doc_id, y, sum(new) OVER (PARTITION BY doc_id ORDER BY y) AS island FROM (
-    SELECT doc_id, y, CASE WHEN y - lag(y) OVER (PARTITION BY doc_id ORDER BY y) > 1 THEN 1 ELSE 0 END AS new FROM profile WHERE ink > 0))
-SELECT doc_id, min(y) AS start, max(y) + 1 AS stop FROM marked GROUP BY doc_id, island HAVING max(y) + 1 - min(y) >= 2"""
+    SELECT doc_id, y, CASE WHEN y - lag(y) OVER (PARTITION BY doc_id ORDER BY y) > 2 THEN 1 ELSE 0 END AS new FROM profile WHERE ink > 0)),
+runs AS (SELECT doc_id, min(y) AS start, max(y) + 1 AS stop FROM marked GROUP BY doc_id, island)
+SELECT doc_id, start, CASE WHEN height - stop < 2 THEN height ELSE stop END AS stop FROM runs JOIN pages USING (doc_id)
+WHERE CASE WHEN height - stop < 2 THEN height ELSE stop END - start >= 2"""
 
 
 def table_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,13 +179,14 @@ def seam_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page", "strip", "box.*", "merged")
 
 
-SEAM_SQL = f"""WITH {BOX_SQL}, figs AS (SELECT *, y1 + k % 3 * 12 AS cut, lead(k) OVER w AS nk, lead(x0) OVER w AS nx0, lead(y0) OVER w AS ny0, lead(x1) OVER w AS nx1, lead(y1) OVER w AS ny1
-    FROM boxes WINDOW w AS (PARTITION BY page ORDER BY k)),
+SEAM_SQL = f"""WITH RECURSIVE {BOX_SQL}, figs AS (SELECT *, y1 + k % 3 * 12 AS cut, row_number() OVER w AS nth, lead(k) OVER w AS nk, lead(x0) OVER w AS nx0, lead(y0) OVER w AS ny0,
+    lead(x1) OVER w AS nx1, lead(y1) OVER w AS ny1 FROM boxes WINDOW w AS (PARTITION BY page ORDER BY k)),
 judged AS (SELECT *, coalesce(nk = k + 1 AND abs(y1 - cut) <= 20 AND abs(ny0 - cut) <= 20
-    AND least(x1, nx1) - greatest(x0, nx0) >= 0.5 * greatest(least(x1 - x0, nx1 - nx0), 1), false) AS merged FROM figs),
-kept AS (SELECT *, coalesce(lag(merged) OVER (PARTITION BY page ORDER BY k), false) AS gone FROM judged)
+    AND least(x1, nx1) - greatest(x0, nx0) >= 0.5 * greatest(least(x1 - x0, nx1 - nx0), 1), false) AS joins FROM figs),
+steps AS (SELECT page, nth, joins AS merged, false AS gone FROM judged WHERE nth = 1
+    UNION ALL SELECT j.page, j.nth, j.joins AND NOT s.merged, s.merged FROM steps s JOIN judged j ON j.page = s.page AND j.nth = s.nth + 1)
 SELECT page, k AS strip, CASE WHEN merged THEN least(x0, nx0) ELSE x0 END AS x0, y0, CASE WHEN merged THEN greatest(x1, nx1) ELSE x1 END AS x1,
-       CASE WHEN merged THEN ny1 ELSE y1 END AS y1, merged FROM kept WHERE NOT gone"""
+       CASE WHEN merged THEN ny1 ELSE y1 END AS y1, merged FROM judged JOIN steps USING (page, nth) WHERE NOT gone"""
 
 
 def figure_commands(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -157,20 +157,31 @@ def space_margin_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 MARGIN_SQL = r"""SELECT doc_id, md5(regexp_replace('\textbf{① a} ' || text, '((?:\\textcolor\{\w+\}\{)?\\textbf\{[\x{2460}-\x{2473}\x{24f5}-\x{24fe}][^{}\n]{0,12}\}\}?)[ \t]+(\S)', '\1\\quad \2', 'g')) AS digest FROM documents"""
 
 
+#: Text with escapes, a comment and math before it, so that the signs are met everywhere.
+SIGNS = r"concat('a \\\\& b \\& c \\# d % e & f # the', chr(10), '$x the y$ of $$of$$ the ', text)"
+SIGNS_SQL = r"concat('a \\& b \& c \# d % e & f # the', chr(10), '$x the y$ of $$of$$ the ', text)"
+
+
 def escape_amp_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents")
-    return rows.select("doc_id", F.md5(text.bare_hash_escaped(text.bare_ampersand_escaped(F.col("text")))).alias("digest"))
+    rows = table(spark, sf_dir, "documents").withColumn("latex", F.expr(SIGNS))
+    return rows.select("doc_id", F.md5(text.bare_hash_escaped(text.bare_ampersand_escaped(F.col("latex")))).alias("digest"))
 
 
-AMP_SQL = "SELECT doc_id, md5(replace(replace(text, '&', chr(92) || '&'), '#', chr(92) || '#')) AS digest FROM documents"
+AMP_SQL = rf"""WITH t AS (SELECT doc_id, regexp_extract_all({SIGNS_SQL}, '(?s)\\.|\\|%[^\n]*|[&#]|[^\\%&#]+') AS w FROM documents)
+SELECT doc_id, md5(array_to_string(list_transform(w, lambda x: CASE WHEN x IN ('&', '#') THEN chr(92) || x ELSE x END), '')) AS digest FROM t"""
 
 
 def unicode_to_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").withColumn("latex", F.replace(F.replace("text", F.lit("the"), F.lit("∀")), F.lit("of"), F.lit("∈")))
+    rows = table(spark, sf_dir, "documents").withColumn("latex", F.expr(SIGNS))
+    rows = rows.withColumn("latex", F.replace(F.replace("latex", F.lit("the"), F.lit("∀")), F.lit("of"), F.lit("∈")))
     return rows.select("doc_id", F.md5(text.symbols_as_macros(F.col("latex"), repair.MACROS)).alias("digest"))
 
 
-MACRO_SQL = r"SELECT doc_id, md5(replace(replace(text, 'the', '$\forall$'), 'of', '$\in$')) AS digest FROM documents"
+MACRO_SQL = rf"""WITH t AS (SELECT doc_id, regexp_extract_all(replace(replace({SIGNS_SQL}, 'the', '∀'), 'of', '∈'), '(?s)\\.|\\|%[^\n]*|\$\$?|[^\\%$]+') AS w FROM documents),
+pieces AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM t),
+modes AS (SELECT *, sum(CASE WHEN x IN ('$', '$$') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) % 2 = 1 AS math FROM pieces)
+SELECT doc_id, md5(string_agg(CASE WHEN x[1] IN ('%', '$', chr(92)) THEN x WHEN math THEN replace(replace(x, '∀', '\forall '), '∈', '\in ')
+    ELSE replace(replace(x, '∀', '$\forall$'), '∈', '$\in$') END, '' ORDER BY i)) AS digest FROM modes GROUP BY doc_id"""
 
 LABELS = "concat('Thm (a b).', ' ', replace(text, '$$', ''), chr(10), 'Defined here', chr(10), 'Proof: ', lang, chr(10), 'Lecture 3, Week 2')"
 

@@ -87,6 +87,26 @@ def test_runs(spark):
     assert images.runs(np.array([1, 1, 0, 1, 1, 0, 0, 1, 0, 0, 0, 1, 1, 1, 1, 1], bool), 2) == [(0, 5), (7, 8), (11, 16)]
 
 
+def test_runs_reach_the_end_of_the_page(spark):
+    rows = profile(spark, [1, 1, 1, 1, 0])
+    assert [tuple(r)[1:] for r in islands.ink_runs(rows, ["page"]).collect()] == [(0, 5)]
+    rows = profile(spark, [0, 1, 1, 1, 1, 0, 0])
+    assert [tuple(r)[1:] for r in islands.ink_runs(rows, ["page"]).collect()] == [(1, 5)]
+    mask = np.zeros((20, 100), dtype=bool)
+    mask[3:9], mask[14:19] = True, True
+    assert images.stripe_runs(mask)[0] == [(3, 9), (14, 20)]
+
+
+def test_seam_chains_go_in_order(spark):
+    schema = "page int, strip int, i int, box struct<x0:int,y0:int,x1:int,y1:int>, cut int"
+    chain = [(1, k, 1, (10, 100 * k, 90, 100 * k + 100), 100 * k + 100) for k in range(3)]
+    two = [(2, 0, 1, (10, 0, 90, 100), 100), (2, 1, 1, (10, 100, 90, 140), 200), (2, 1, 2, (10, 150, 90, 200), 200), (2, 2, 1, (10, 200, 90, 300), 300)]
+    got = planning.seam_merges(spark.createDataFrame(chain + two, schema), ["page"]).collect()
+    rows = sorted((r.page, r.strip, r.i, r.box.y0, r.box.y1, r.merged) for r in got)
+    # three strips: the first two are one, the third stays; a strip of two markers takes part on both sides
+    assert rows == [(1, 0, 1, 0, 200, True), (1, 2, 1, 200, 300, False), (2, 0, 1, 0, 140, True), (2, 1, 2, 150, 300, True)]
+
+
 def test_tables(spark):
     values = np.zeros(1400)
     for y in (200, 260, 320, 380, 440):
