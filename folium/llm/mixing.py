@@ -51,7 +51,9 @@ def size_class(size: Column) -> Column:
     return F.floor(F.log2(size + F.lit(1.0)) * F.lit(6.0)).cast("int")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 42, **targets) -> DataFrame:
+def mix(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 42, order_col: str | None = None, **targets
+) -> DataFrame:
     """One row per row of ``docs``: id, source, size, source_size, target, copies.
 
     Within a source the documents stand in order of size class; each has target / source_size
@@ -67,12 +69,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     spark = docs.sparkSession
     rows = saved(
-        docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")),
+        docs.select(
+            F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
+            (F.col(order_col) if order_col else F.lit(0)).alias("order"),
+        ),
         "sizes",
-    )
+    )
     slices = max(1, -(-rows.count() // SLICE_ROWS))
     rows = rows.withColumn("class", size_class(F.col("size"))).withColumn(
-        "slice", F.coalesce(F.pmod(F.col("id"), F.lit(slices)), F.lit(0)).cast("int")
+        "slice", F.coalesce(F.pmod(F.col("order") if order_col else F.col("id"), F.lit(slices)), F.lit(0)).cast("int")
     )
     key = F.coalesce(F.concat(F.lit("+"), F.col("source").cast("string")), F.lit("-"))
     rows = rows.withColumn("key", key)
@@ -84,7 +89,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     plan = plan.join(sources, "key").select(
         F.col("key").alias("k"), F.col("class").alias("c"), F.col("slice").alias("s"), "ahead", "source_size", "target", offset.alias("offset")
     )
-    within = Window.partitionBy("key", "class", "slice").orderBy("size", "id")
+    within = Window.partitionBy("key", "class", "slice").orderBy("size", "order", "id")
     numbered = rows.withColumn("nth", F.row_number().over(within))
     cut = lambda n: F.floor(F.col("offset") + n * F.col("rate"))
     return (
@@ -105,14 +110,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def mixed(docs: DataFrame, seed: int = 42, **names) -> DataFrame:
     """``docs`` with each row as often as the mix takes it; same columns.
 
-    Rows get a number of their own in a table first, so that repeated ids and rows stay apart.
+    Rows get a number of their own in a table first, so that repeated ids and rows stay apart. They are
+    ordered by a hash of all their columns, so the mix doesn't depend on how the rows lie in partitions.
     """
     rows = numbered(docs)
     text_col, source_col = (names.get(k, v) for k, v in (("text_col", "text"), ("source_col", "source")))
     keyed = rows.select(
-        F.col("row").alias("id"), F.col(f"doc.`{text_col}`").alias("text"), F.col(f"doc.`{source_col}`").alias("source")
-    )
-    copies = mix(keyed, "id", "text", "source", seed).where("copies > 0").select(F.col("id").alias("row"), "copies")
+        F.col("row").alias("id"), F.col(f"doc.`{text_col}`").alias("text"), F.col(f"doc.`{source_col}`").alias("source"),
+        F.xxhash64("doc").alias("order"),
+    )
+    copies = mix(keyed, "id", "text", "source", seed, order_col="order").where("copies > 0").select(F.col("id").alias("row"), "copies")
     return (
         rows.join(copies, "row")
         .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))

@@ -120,7 +120,7 @@ def severity_grades(rows: list[np.ndarray], toxic: np.ndarray, cuts: tuple[float
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most: int = SAMPLE) -> tuple[list[np.ndarray], np.ndarray]:
     """Features of the whole text and label of up to ``most`` labelled documents, by hash of the id.
 
-    An id's largest label counts; ids and labels that are null, and ids without a document, don't.
+    Of rows that repeat an id the text of least hash counts, and an id's largest label; ids and labels that are null, and ids without a document, don't.
     Features are taken on the executors; only those of the bounded sample come to the driver.
     """
     chosen = (
@@ -131,6 +131,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str = "toxic"
         .limit(most)
     )
     given = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("binary").alias("__text")).join(F.broadcast(chosen), "__id")
+    least = F.min(F.struct(F.xxhash64("__text").alias("hash"), "__text"))["__text"].alias("__text")
+    given = given.groupBy("__id", "__label").agg(least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from folium.llm import bpe, simhash, toxicity
+from folium.llm import bpe, mixing, simhash, toxicity
 from folium.llm.mixing import SLICE_ROWS
 from tests.llm.conftest import SCHEMA, sentence
 from tests.llm.test_dedup import distance, groups, norm, print_of
@@ -113,12 +113,25 @@ def test_names_and_sql():
 
 
 def test_odd_rows_pass_all_stages(spark, odd, sf_dir):
-    docs = odd.select(*[F.col(c) for c in ("doc_id", "text", "lang", "source", "n_chars")])
+    docs = odd.withColumn("decoded", F.lit(1))
     for _, fn in corpus_pipeline.STAGES:
         docs = fn(spark, docs, sf_dir)
     assert docs.count() > 0
 
 
+def test_a_mix_does_not_depend_on_partitions(spark, odd):
+    docs = odd.select("doc_id", "text", "lang", "source", "n_chars").where("doc_id is not null")
+    rows = [sorted(map(tuple, mixing.mixed(docs.repartition(n)).collect()), key=repr) for n in (2, 7)]
+    assert rows[0] == rows[1]
+
+
+def test_one_row_of_an_id_in_the_sample(spark):
+    docs = spark.createDataFrame([(1, f"text {i}", "en", "s", 0) for i in range(50)] + [(2, "other", "en", "s", 0)], SCHEMA)
+    labels = spark.createDataFrame([(1, 1, 1), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    features, marks = toxicity.labelled_sample(docs, labels, most=2)
+    assert len(features) == 2 and sorted(marks) == [0, 1]
+
+
 def test_near_documents_are_those_of_similar_shingles(spark):
     rnd, texts = random.Random(3), []
     word = lambda: "".join(rnd.choice("etaoinshrdlu") for _ in range(5))
