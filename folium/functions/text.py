@@ -343,9 +343,10 @@ def safe_stem(name: Column, fallback: Column) -> Column:
 def settings_problems(s: Column | str) -> Column:
     """what is wrong with a settings struct, in order; an empty array if nothing."""
     v = (lambda n: F.col(f"{s}.{n}")) if isinstance(s, str) else (lambda n: s[n])
+    blank = lambda c: is_blank(F.coalesce(c, F.lit("")))
     checks = [
         (~v("engine").isin("hybrid", "vlm", "trocr", "heuristic"), "engine"),
-        ((v("engine") == "vlm") & ((F.coalesce(v("vlm_base_url"), F.lit("")) == "") | (F.coalesce(v("vlm_model"), F.lit("")) == "")), "endpoint"),
+        ((v("engine") == "vlm") & (blank(v("vlm_base_url")) | blank(v("vlm_model"))), "endpoint"),
         (~v("dpi").between(50, 1200), "dpi"),
         (v("max_retries") < 0, "max_retries"),
         (~v("vlm_parallel_workers").between(1, 16), "vlm_parallel_workers"),

@@ -165,14 +165,14 @@ PROPS_SQL = "SELECT event_id, coalesce(list_aggregate(list_sort(json_keys(props)
 
 
 def settings_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = F.expr("""struct(CASE p_partkey % 5 WHEN 0 THEN 'odd' WHEN 1 THEN 'vlm' ELSE 'hybrid' END AS engine, CASE WHEN p_partkey % 2 = 0 THEN 'http://x' END AS vlm_base_url,
+    s = F.expr("""struct(CASE p_partkey % 5 WHEN 0 THEN 'odd' WHEN 1 THEN 'vlm' ELSE 'hybrid' END AS engine, CASE WHEN p_partkey % 2 = 0 THEN 'http://x' END AS vlm_base_url, CASE p_partkey % 3 WHEN 0 THEN ' ' ELSE 'm' END AS vlm_model,
         cast(p_retailprice AS int) AS dpi, p_size - 5 AS max_retries, p_size AS vlm_parallel_workers, p_size AS vlm_stall_timeout, 20 AS vlm_timeout, 4 AS vlm_retries,
         'off' AS vlm_thinking, 8 + p_size % 5 AS doc_font_pt, 'a4paper' AS doc_paper, p_size / 10.0 AS doc_margin_in, CASE WHEN p_size > 40 THEN 'out' ELSE '' END AS output_dir)""")
     rows = table(spark, sf_dir, "part").select("p_partkey", s.alias("s"))
     return rows.select("p_partkey", F.array_join(text.settings_problems("s"), ",").alias("problems"))
 
 
-SETTINGS_SQL = """SELECT p_partkey, coalesce(list_aggregate(list_filter([CASE WHEN p_partkey % 5 = 0 THEN 'engine' END, CASE WHEN p_partkey % 5 = 1 AND p_partkey % 2 <> 0 THEN 'endpoint' END,
+SETTINGS_SQL = """SELECT p_partkey, coalesce(list_aggregate(list_filter([CASE WHEN p_partkey % 5 = 0 THEN 'engine' END, CASE WHEN p_partkey % 5 = 1 AND (p_partkey % 2 <> 0 OR p_partkey % 3 = 0) THEN 'endpoint' END,
     CASE WHEN p_retailprice::INT NOT BETWEEN 50 AND 1200 THEN 'dpi' END, CASE WHEN p_size < 5 THEN 'max_retries' END, CASE WHEN p_size NOT BETWEEN 1 AND 16 THEN 'vlm_parallel_workers' END,
     CASE WHEN p_size < 10 THEN 'vlm_stall_timeout' END, CASE WHEN 20 < p_size THEN 'vlm_timeout' END, CASE WHEN 8 + p_size % 5 NOT IN (10, 11, 12) THEN 'doc_font_pt' END,
     CASE WHEN p_size / 10.0 NOT BETWEEN 0.25 AND 4 THEN 'doc_margin_in' END, CASE WHEN p_size > 40 THEN 'output_dir' END], lambda x: x IS NOT NULL), 'string_agg', ','), '') AS problems FROM part"""
