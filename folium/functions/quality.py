@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from folium.functions.text import HAN, is_blank, split_lines
 
+# Lines that are only a label, and lines that only give structure.
 LABEL_ONLY = r"^\s*(?:\\textcolor\{[^}]*\}\{)?\\textbf\{[^{}]{0,12}\}\}?\s*$"
 STRUCTURAL = (
     r"^\s*(?:\\(?:begin|end)\{[^}]*\}(?:\{[^}]*\})*|\\hline|\\centering|\\\\|\\par|\\medskip|\\smallskip|\\bigskip|\\noindent)\s*$"
