@@ -6,8 +6,10 @@ import base64
 import gzip
 import hashlib
 import io
+import itertools
 import re
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +23,8 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 
 SEGMENT_BYTES, CHUNK_BYTES, RECORDS_PER_FILE = 16_384, 4_096, 20_000
 ROWS_PER_BATCH = 256
+#: Archives up to this size are read as one value, longer ones as a stream.
+WHOLE_BYTES = 256_000_000
 
 
 def base32_sha1(payload: bytes) -> str:
@@ -123,12 +127,33 @@ def records_of(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], byte
         while (line := stream.readline()).strip():
             k, _, v = line.decode("utf-8", "replace").partition(":")
             fields[k.strip().lower()] = v.strip()
-        n = int(fields["content-length"])
-        if len(block := stream.read(n)) != n:
+        if not (length := fields.get("content-length", "")).isdecimal():
+            raise ValueError(f"record without a length: {length!r}")
+        if len(block := stream.read(int(length))) != int(length):
             raise ValueError("record is cut off")
         yield fields, block
 
 
+class Fragments(io.RawIOBase):
+    """A file that Spark's text reader cut at ``END``, as a stream; one fragment is held at a time."""
+
+    def __init__(self, parts: Iterable[bytes]):
+        self.parts, self.now = iter(parts), None
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into) -> int:
+        while not self.now:
+            part = next(self.parts, None)
+            if part is None:
+                return 0
+            self.now = memoryview(part if self.now is None else END + part)
+        n = min(len(into), len(self.now))
+        into[:n], self.now = self.now[:n], self.now[n:]
+        return n
+
+
 _DONE = "payload_bytes long, payload_digest string, payload binary, ok boolean"
 _HEAD = "origin string, page_id string, record_type string, refers_to string, digest string"
 
@@ -141,60 +166,90 @@ def _decoded(block: bytes, keep: bool) -> dict:
     return {"payload_bytes": len(payload), "payload_digest": base32_sha1(payload), "payload": payload if keep else None, "ok": True}
 
 
-def read_archives(spark: SparkSession, path: str, keep_payload: bool = True) -> DataFrame:
+def rows_of(stream: io.BufferedIOBase, keep: bool) -> Iterator[dict]:
+    """A row for each response, revisit and continuation; one with ok false where the stream can't be read on."""
+    try:
+        for fields, block in records_of(stream):
+            kind, own = fields.get("warc-type"), fields.get("warc-record-id")
+            if kind not in ("response", "revisit", "continuation"):
+                continue
+            segment, total = fields.get("warc-segment-number", "0"), fields.get("warc-segment-total-length", "0")
+            row = {
+                "origin": fields.get("warc-segment-origin-id", own), "page_id": _page(own), "record_type": kind,
+                "refers_to": fields.get("warc-refers-to"), "digest": fields.get("warc-payload-digest"),
+            }
+            if row["origin"] is None or not segment.isdecimal() or not total.isdecimal() or kind == "continuation" and not int(segment):
+                yield row | {"segment": 0, "ok": False}
+            elif int(segment):
+                yield row | {"segment": int(segment), "total": int(total) or None, "block": block}
+            else:
+                yield row | {"segment": 0} | (_decoded(block, keep) if kind == "response" else {"ok": True})
+    except (ValueError, EOFError, OSError, zlib.error):
+        yield {"segment": 0, "ok": False}
+
+
+def read_archives(spark: SparkSession, path: str, keep_payload: bool = True, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
     """The records of the archives under ``path``, segments joined and transfer framing decoded.
 
     (origin, page_id, record_type, refers_to, digest, payload_bytes, payload_digest, payload, ok).
     Continuations are grouped by the origin record's identifier, ordered by segment number and
     held against the total length in the last; ok is false, and the payload null, where segments
     are missing, the length differs or a frame is broken. Records that have all their block are
-    decoded where they are read, so only segments are moved. Revisits have no payload (null).
-    Each archive is read as one value: keep files well under 1 GB.
+    decoded where they are read, so only segments are moved; segments that equal each other are
+    summed first, so repeated records meet as one with a count. Revisits have no payload (null).
+
+    A record without an identifier, or with no number as segment or total, is a row with ok false.
+    Where an archive is cut off or a record's length can't be told, one row with ok false and nulls
+    else stands for the rest of that archive; other archives go on. No archives, no rows.
+
+    Archives of over ``whole_bytes`` bytes, which must be named ``.gz``, are read as a stream of
+    any length through Spark's text reader, which ends the job where their compression is broken.
     """
-    files = spark.read.format("binaryFile").load(path).select("content")
+    files = spark.read.format("binaryFile").load(path)
+    large = [r.path for r in files.where(F.col("length") > whole_bytes).select("path").collect()]  # names only
+    if unsplit := [x for x in large if not x.endswith(".gz")]:
+        raise ValueError(f"compress archives of over {whole_bytes} bytes: {unsplit[:3]}")
+    ddl = f"{_HEAD}, segment int, total long, block binary, {_DONE}"
+
+    def batched(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+        while part := list(itertools.islice(rows, ROWS_PER_BATCH)):
+            yield pa.RecordBatch.from_pylist(part, schema=_arrow(ddl))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = _arrow(f"{_HEAD}, segment int, total long, block binary, {_DONE}")
         for batch in batches:
             for content in batch.column(0):
                 raw = io.BytesIO(memoryview(content.as_buffer()))
                 stream = gzip.open(raw) if raw.getbuffer()[:2] == b"\x1f\x8b" else raw
-                out = []
-                for f, block in records_of(io.BufferedReader(stream)):
-                    kind = f.get("warc-type")
-                    if kind not in ("response", "revisit", "continuation"):
-                        continue
-                    own = f["warc-record-id"]
-                    row = {"origin": f.get("warc-segment-origin-id", own), "page_id": _page(own), "record_type": kind, "refers_to": f.get("warc-refers-to"), "digest": f.get("warc-payload-digest"), "segment": int(f.get("warc-segment-number", 0)), "total": int(x) if (x := f.get("warc-segment-total-length")) else None}
-                    if row["segment"]:
-                        row["block"] = block
-                    elif kind == "response":
-                        row |= _decoded(block, keep_payload)
-                    else:
-                        row["ok"] = True
-                    out.append(row)
-                    if len(out) >= ROWS_PER_BATCH:
-                        yield pa.RecordBatch.from_pylist(out, schema=schema)
-                        out = []
-                yield pa.RecordBatch.from_pylist(out, schema=schema)
+                yield from batched(rows_of(io.BufferedReader(stream), keep_payload))
+
+    def parse_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lines = (pair for batch in batches for pair in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        for _, part in itertools.groupby(lines, key=lambda pair: pair[0]):
+            yield from batched(rows_of(io.BufferedReader(Fragments(value for _, value in part)), keep_payload))
+
+    parsed = files.where(F.col("length") <= whole_bytes).select("content").mapInArrow(parse, ddl)
+    if large:
+        lines = spark.read.option("lineSep", END.decode()).text(large)
+        lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("value"))
+        parsed = parsed.unionByName(lines.mapInArrow(parse_stream, ddl))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = _arrow(f"{_HEAD}, {_DONE}")
+        schema = _arrow(f"{_HEAD}, {_DONE}, n long")
         for batch in batches:
-            out = []
             for group in batch.column("found").to_pylist():
-                out += [{k: r[k] for k in schema.names} for r in group if not r["segment"]]
-                parts = {r["segment"]: r for r in reversed(group) if r["segment"]}
-                if parts:
-                    out += joined(parts, schema.names, keep_payload) * max(1, sum(r["segment"] == 1 for r in group))
-            yield pa.RecordBatch.from_pylist(out, schema=schema)
+                parts = {r["part"]["segment"]: r["part"] for r in group}
+                times = next((r["n"] for r in group if r["part"]["segment"] == 1), 1)
+                yield pa.RecordBatch.from_pylist([joined(parts, keep_payload) | {"n": times}], schema=schema)
 
-    parsed = files.mapInArrow(parse, f"{_HEAD}, segment int, total long, block binary, {_DONE}")
-    grouped = parsed.groupBy("origin").agg(F.collect_list(F.struct(*parsed.columns)).alias("found")).select("found")
-    return grouped.mapInArrow(join, f"{_HEAD}, {_DONE}")
+    whole = parsed.where("segment = 0").drop("segment", "total", "block")
+    own = F.struct("origin", "segment", "total", "page_id", "refers_to", "digest", "block")
+    parts = parsed.where("segment > 0").groupBy("origin", "segment").agg(F.min(own).alias("part"), F.count("*").alias("n"))
+    found = parts.groupBy("origin").agg(F.collect_list(F.struct("part", "n")).alias("found")).select("found")
+    repeated = found.mapInArrow(join, f"{_HEAD}, {_DONE}, n long").withColumn("again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    return whole.unionByName(repeated.drop("n", "again"))
 
 
-def joined(parts: dict[int, dict], names: list[str], keep: bool) -> list[dict]:
+def joined(parts: dict[int, dict], keep: bool) -> dict:
     """The record whose segments are ``parts``, by number."""
     last, first = parts[max(parts)], parts.get(1)
     whole = sorted(parts) == list(range(1, len(parts) + 1)) and last["total"] is not None
@@ -203,8 +258,7 @@ def joined(parts: dict[int, dict], names: list[str], keep: bool) -> list[dict]:
         done = {"payload_bytes": None, "payload_digest": None, "payload": None, "ok": False}
     else:
         done = _decoded(block, keep)
-    head = {k: (first or last)[k] for k in ("origin", "page_id", "refers_to", "digest")}
-    return [{k: (head | {"record_type": "response"} | done).get(k) for k in names}]
+    return {k: (first or last)[k] for k in ("origin", "page_id", "refers_to", "digest")} | {"record_type": "response"} | done
 
 
 def _page(record_id: str | None) -> str | None:

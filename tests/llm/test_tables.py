@@ -132,3 +132,37 @@ def test_broken_archives(spark, tmp_path):
     assert warc.unchunked(b"3;x=1\r\nabc\r\n0\r\nTrailer: 1\r\n\r\n") == b"abc"
     with pytest.raises(ValueError):
         warc.unchunked(b"5\r\nabc\r\n0\r\n\r\n")
+
+
+def test_archives_with_records_that_cannot_be_read(spark, tmp_path):
+    good = [warc.page_records(i, "u", b"body", sha(b"body"), None, 800)[0] for i in (1, 2, 3)]
+    bad = {
+        "cut": good[0] + warc.END + good[1][:-5],
+        "no_id": good[0] + warc.END + warc.record([("WARC-Type", "response")], b"x") + warc.END + good[2],
+        "no_length": good[0] + warc.END + b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: many\r\n\r\n" + good[2],
+        "segment": good[0] + warc.END + warc.record([("WARC-Type", "response"), ("WARC-Record-ID", "<x>"), ("WARC-Segment-Number", "one")], b"x") + warc.END + good[2],
+        "noise": b"not an archive",
+        "short": gzip.compress(good[0] * 3)[:-20],
+    }
+    for name, data in bad.items():
+        (tmp_path / f"{name}.warc").write_bytes(data)
+    (tmp_path / "fine.warc.gz").write_bytes(gzip.compress(warc.END.join(good)))
+    got = warc.read_archives(spark, f"file://{tmp_path}").select("page_id", "ok", "record_type").collect()
+    assert sum(not r.ok for r in got) == len(bad)
+    fine = [r.page_id for r in got if r.ok]
+    assert fine.count("1") >= 5 and fine.count("2") == 1 and fine.count("3") == 3
+
+
+def test_long_archives_are_streams(spark, tmp_path):
+    bodies = [b"", b"a\r\n\r\nWARC/1.1\r\n\r\n" * 40, b"\r\n\r\r\n\r\n\n" * 300, bytes(range(256)) * 300, b"\r\n\r\n"]
+    for part in range(3):
+        records = [x for i, b in enumerate(bodies) for x in warc.page_records(10 * part + i, "u", b, sha(b), None, 900)]
+        members = [gzip.compress(r + warc.END) for r in records]  # one member a record, as crawls have them
+        (tmp_path / f"{part}.warc.gz").write_bytes(b"".join(members))
+    whole, streamed = (
+        {(r.page_id, r.ok, r.payload_digest, bytes(r.payload)) for r in warc.read_archives(spark, f"file://{tmp_path}", whole_bytes=n).collect()} for n in (10**9, 0)
+    )
+    assert whole == streamed == {(str(10 * p + i), True, sha(b), b) for p in range(3) for i, b in enumerate(bodies)}
+    (tmp_path / "plain.warc").write_bytes(b"x")
+    with pytest.raises(ValueError, match="compress"):
+        warc.read_archives(spark, f"file://{tmp_path}", whole_bytes=0)
