@@ -61,11 +61,12 @@ def mix(
     is emitted once for each integer that its stretch crosses. Ordering by size lets the words
     taken come near the target; two copies are the most as no target passes twice its source.
 
-    The running sum is taken in two steps, so no source meets in one task: rows are numbered
-    within (source, size class, slice), and only those groups' counts are summed along a source.
+    The running sum is taken in three steps, so no source meets in one task: rows are numbered
+    within (source, size class, slice), the slices' counts are summed along a class, and the
+    classes' counts, some hundred at most, along a source.
 
-    Null text has size 0; a null source is a source; null and repeated ids are ordered like any
-    other value. Sources without words have target 0 and copies 0. Reruns agree.
+    Null text has size 0; a null source is a source; repeated ids are ordered like any other
+    value, rows with a null id by their size. Sources without words have target 0 and copies 0. Reruns agree.
     """
     spark = docs.sparkSession
     rows = saved(
@@ -77,16 +78,19 @@ def mix(
     )
     slices = max(1, -(-rows.count() // SLICE_ROWS))
     rows = rows.withColumn("class", size_class(F.col("size"))).withColumn(
-        "slice", F.coalesce(F.pmod(F.col("order") if order_col else F.col("id"), F.lit(slices)), F.lit(0)).cast("int")
+        "slice", F.pmod(F.coalesce(F.col("order") if order_col else F.col("id"), F.xxhash64("size")), F.lit(slices)).cast("int")
     )
     key = F.coalesce(F.concat(F.lit("+"), F.col("source").cast("string")), F.lit("-"))
     rows = rows.withColumn("key", key)
     groups = saved(rows.groupBy("key", "source", "class", "slice").agg(F.count("*").alias("n"), F.sum("size").alias("words")), "groups")
     sources = source_targets(groups.groupBy("source").agg(F.sum("words").alias("source_size")), **targets).withColumn("key", key).drop("source")
-    ahead = Window.partitionBy("key").orderBy("class", "slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    classes = groups.groupBy("key", "class").agg(F.sum("n").alias("n"))
+    classes = classes.select("key", "class", before(Window.partitionBy("key").orderBy("class")).alias("lower"))
+    in_class = before(Window.partitionBy("key", "class").orderBy("slice"))
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col("key"))), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
-    plan = groups.select("key", "class", "slice", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
-    plan = plan.join(sources, "key").select(
+    plan = groups.select("key", "class", "slice", in_class.alias("in_class")).join(classes, ["key", "class"])
+    plan = plan.withColumn("ahead", F.col("lower") + F.col("in_class")).join(sources, "key").select(
         F.col("key").alias("k"), F.col("class").alias("c"), F.col("slice").alias("s"), "ahead", "source_size", "target", offset.alias("offset")
     )
     within = Window.partitionBy("key", "class", "slice").orderBy("size", "order", "id")
