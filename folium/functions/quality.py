@@ -28,14 +28,21 @@ def content_lines(text: Column) -> Column:
 
 def line_stats(text: Column) -> Column:
     """Struct of n, chars, blank (share of white space), rich (share of lines with math or Han), mean_length."""
-    lines = content_lines(text)
-    n, chars = F.size(lines), F.length(F.array_join(lines, ""))
-    rich = F.size(F.filter(lines, lambda x: x.contains("$") | x.contains("\\") | (F.regexp_count(x, F.lit(f"[{HAN}]")) >= 2)))
     blank = F.regexp_count(text, F.lit(r"[\s\x1c-\x1f\x85\xa0]")) / F.greatest(F.length(text), F.lit(1))
-    return F.struct(
-        n.alias("n"), chars.alias("chars"), blank.alias("blank"), F.when(n > 0, rich / n).alias("rich"), F.when(n > 0, chars / n).alias("mean_length")
+    says = lambda x: x.contains("$") | x.contains("\\") | (F.regexp_count(x, F.lit(f"[{HAN}]")) >= 2)
+    count = F.struct(F.lit(0).alias("n"), F.lit(0).alias("chars"), F.lit(0).alias("rich"))
+    step = lambda acc, x: F.struct(
+        (acc["n"] + 1).alias("n"), (acc["chars"] + F.length(x)).alias("chars"), (acc["rich"] + says(x).cast("int")).alias("rich")
     )
 
+    def finish(acc: Column) -> Column:
+        n, chars = acc["n"], acc["chars"]
+        return F.struct(
+            n.alias("n"), chars.alias("chars"), blank.alias("blank"), F.when(n > 0, acc["rich"] / n).alias("rich"), F.when(n > 0, chars / n).alias("mean_length")
+        )
+
+    return F.aggregate(content_lines(text), count, step, finish)
+
 
 def verdict(stats: Column, expected: Column) -> Column:
     """struct of ok, score and reason, the gates in order; ``stats`` is ``line_stats``' struct."""

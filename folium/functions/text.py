@@ -95,11 +95,15 @@ def is_chatter(line: Column) -> Column:
 
 
 def without_chatter(text: Column) -> Column:
-    """The text without such lines at its start and end."""
+    """The text without such lines at its start and end; lines are looked at only up to the first other one."""
+
+    def leading(lines: Column) -> Column:  # counts up, and turns negative once a line stays
+        step = lambda n, x: F.when(n < 0, n).when(is_chatter(x), n + 1).otherwise(-n - 1)
+        return F.aggregate(lines, F.lit(0), step, lambda n: F.when(n < 0, -n - 1))
+
     def inner(lines: Column) -> Column:
-        real = F.filter(F.transform(lines, lambda x, i: F.when(~is_chatter(x), i)), lambda i: i.isNotNull())
-        kept = lambda r: F.slice(lines, F.array_min(r) + 1, F.array_max(r) - F.array_min(r) + 1)
-        return let(real, lambda r: F.when(F.size(r) == 0, "").otherwise(strip(join_lines(kept(r)))))
+        kept = lambda skip: F.slice(lines, skip + 1, F.size(lines) - skip - leading(F.reverse(lines)))
+        return let(leading(lines), lambda skip: F.when(skip.isNull(), "").otherwise(strip(join_lines(kept(skip)))))
 
     return let(split_lines(text), inner)
 
@@ -126,6 +130,7 @@ def indicator_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(INDICATOR))
 
 
+# Fixed value: a circled margin label.
 MARGIN_LABEL = r"((?:\\textcolor\{\w+\}\{)?\\textbf\{[" + CIRCLED + r"][^{}\n]{0,12}\}\}?)[ \t]+(?=\S)"
 
 
@@ -140,6 +145,7 @@ def margin_labels_colored(text: Column, color: str) -> Column:
     return F.regexp_replace(text, label, r"\\textcolor{" + color + "}{$1}")
 
 
+# Fixed value: the line above a corner table.
 CORNER_HEADING = r"(\\begin\{wraptable\}\{[^}]*\}\{[^}]*\}[ \t]*\n)([^\n]*\S)(?<!\\\\)(?<!\\par)[ \t]*\n(?=[ \t]*(?:\\fitpage\{)?\\begin\{tabular\})"
 
 
@@ -266,10 +272,9 @@ def colors_dropped(text: Column, absent: list[str]) -> Column:
 
 # --- documents ---------------------------------------------------------------------------------
 
+# The package, and circled numbers among the signs that its font sets.
 CJK_PACKAGE = (
-    "\\usepackage[UTF8]{ctex}   % Chinese: needs XeLaTeX or LuaLaTeX\n"
-    "% Circled numbers (section marks like \u2460) from the Chinese font: the\n"
-    "% Latin one has no glyph for them and they vanished from the PDF.\n"
+    "\\usepackage[UTF8]{ctex}\n"
     '\\ifdefined\\xeCJKDeclareCharClass\\xeCJKDeclareCharClass{CJK}{"2460 -> "24FF}\\fi'
 )
 

@@ -8,37 +8,38 @@ from pyspark.sql import functions as F
 
 from folium.functions import geometry
 from folium.functions.repair import is_similar
+from folium.functions.text import let
 
 
 def matched_boxes(inline: DataFrame, located: DataFrame, keys: list[str], most: int = 150) -> DataFrame:
     """``inline`` (k, box) with the box that the locator found for it, else its own.
 
     Where both have as many, the k-th in reading order is the k-th; otherwise pairs whose vertical
-    centres are at most ``most`` apart are taken greedily, the closest first, by a fold over the
-    page's candidate pairs.
+    centres are at most ``most`` apart are taken greedily, the closest first. Each side is one array
+    a page, so a page's boxes meet in one join and the matching is a fold over their pairs.
     """
-    w = Window.partitionBy(*keys).orderBy(geometry.reading_key(F.col("box")))
-    found = located.withColumn("j", F.row_number().over(w) - 1).select(*keys, "j", F.col("box").alias("other"))
-    found = found.withColumn("n_found", F.count("*").over(Window.partitionBy(*keys)))
-    own = inline.withColumn("i", F.row_number().over(Window.partitionBy(*keys).orderBy("k")) - 1).withColumn("n_own", F.count("*").over(Window.partitionBy(*keys)))
-    counts = found.select(*keys, "n_found").distinct()
-    own = own.join(counts, keys, "left")
-    centre = lambda b: (F.col(f"{b}.y0") + F.col(f"{b}.y1")) / 2
-    pairs = own.where("n_found <> n_own").join(found.drop("n_found"), keys).withColumn("gap", F.abs(centre("box") - centre("other"))).where(F.col("gap") <= most)
-
-    start = F.struct(F.array().cast("array<int>").alias("i"), F.array().cast("array<int>").alias("j"), F.array().cast("array<struct<i:int,j:int>>").alias("out"))
-
-    def step(acc: Column, p: Column) -> Column:
-        free = ~F.array_contains(acc["i"], p["i"]) & ~F.array_contains(acc["j"], p["j"])
-        both = F.struct(p["i"].alias("i"), p["j"].alias("j"))
-        taken = F.struct(F.array_append(acc["i"], p["i"]).alias("i"), F.array_append(acc["j"], p["j"]).alias("j"), F.array_append(acc["out"], both).alias("out"))
-        return F.when(free, taken).otherwise(acc)
-
-    by_gap = pairs.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("gap", "i", "j"))).alias("pairs"))
-    chosen = by_gap.select(*keys, F.explode(F.aggregate("pairs", start, step, lambda acc: acc["out"])).alias("p")).select(*keys, "p.i", "p.j")
-    same = own.where("n_found = n_own").select(*keys, "i", F.col("i").alias("j"))
-    links = same.unionByName(chosen).join(found.drop("n_found"), [*keys, "j"])
-    return own.join(links.select(*keys, "i", "other"), [*keys, "i"], "left").select(*keys, "k", F.coalesce("other", "box").alias("box"), F.col("other").isNotNull().alias("located"))
+    own = inline.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("k", "box"))).alias("own"))
+    found = located.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(geometry.reading_key(F.col("box")).alias("at"), "box"))).alias("found"))
+    centre = lambda b: (b["y0"] + b["y1"]) / 2
+
+    def pairs() -> Column:
+        pair = lambda o, i, f, j: F.struct(F.abs(centre(o["box"]) - centre(f["box"])).alias("gap"), i.alias("i"), j.alias("j"))
+        every = F.flatten(F.transform("own", lambda o, i: F.transform("found", lambda f, j: pair(o, i, f, j))))
+        return F.sort_array(F.filter(every, lambda p: p["gap"] <= most))
+
+    def step(taken: Column, p: Column) -> Column:
+        used = F.exists(taken, lambda t: (t["i"] == p["i"]) | (t["j"] == p["j"]))
+        return F.when(used, taken).otherwise(F.array_append(taken, p))
+
+    def placed(links: Column) -> Column:
+        link = lambda i: F.get(F.filter(links, lambda t: t["i"] == i), 0)["j"]
+        other = lambda i: F.get("found", F.when(F.size("own") == F.size("found"), i).otherwise(link(i)))["box"]
+        row = lambda o, i: F.struct(o["k"].alias("k"), F.coalesce(other(i), o["box"]).alias("box"), other(i).isNotNull().alias("located"))
+        return F.transform("own", row)
+
+    links = F.when(F.size("own") != F.size("found"), F.aggregate(pairs(), F.array().cast("array<struct<gap:double,i:int,j:int>>"), step))
+    both = own.join(found, keys, "left").select(*keys, F.explode(let(links, placed)).alias("m"))
+    return both.select(*keys, "m.k", "m.box", "m.located")
 
 
 def refuted_runs(runs: DataFrame, reads: DataFrame, keys: list[str], exact: bool = False) -> DataFrame:

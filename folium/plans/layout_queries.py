@@ -162,6 +162,18 @@ def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page", "k", "box.*", "located")
 
 
+GREEDY_SQL = f"""WITH RECURSIVE {BOX_SQL},
+inline AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY k) AS i, count(*) OVER (PARTITION BY page) AS n FROM boxes),
+located AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY y0 + y1, x0 + x1) AS j, count(*) OVER (PARTITION BY page) AS n FROM boxes WHERE k > 1),
+pairs AS (SELECT a.page, list_sort(list({{'gap': abs((a.y0 + a.y1) / 2.0 - (b.y0 + b.y1) / 2.0), 'i': a.i, 'j': b.j}})) AS rest
+    FROM inline a JOIN located b ON a.page = b.page AND a.n <> b.n AND abs((a.y0 + a.y1) / 2.0 - (b.y0 + b.y1) / 2.0) <= 150 GROUP BY a.page),
+taken AS (SELECT page, rest[1] AS p, list_filter(rest[2:], lambda x: x.i <> rest[1].i AND x.j <> rest[1].j) AS rest FROM pairs
+    UNION ALL SELECT page, rest[1], list_filter(rest[2:], lambda x: x.i <> rest[1].i AND x.j <> rest[1].j) FROM taken WHERE len(rest) > 0),
+links AS (SELECT page, p.i AS i, p.j AS j FROM taken UNION ALL SELECT a.page, a.i, b.j FROM inline a JOIN located b ON a.page = b.page AND a.n = b.n AND a.i = b.j)
+SELECT a.page, a.k, coalesce(b.x0, a.x0) AS x0, coalesce(b.y0, a.y0) AS y0, coalesce(b.x1, a.x1) AS x1, coalesce(b.y1, a.y1) AS y1, b.page IS NOT NULL AS located
+FROM inline a LEFT JOIN links USING (page, i) LEFT JOIN located b ON a.page = b.page AND links.j = b.j"""
+
+
 def remap_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     y = lambda v: geometry.strip_to_page(F.col(f"box.{v}"), F.col("k") * 100, F.lit(250), F.lit(1700)).alias(v)
     back = geometry.unpadded(F.col("box.x0"), F.lit(40), F.lit(0.8), F.lit(3600)).alias("x0")
@@ -260,7 +272,7 @@ QUERIES = {
 }
 ORACLES = {
     "ink_runs": INK_SQL, "table_bands": BANDS_SQL, "plan_cuts": CUTS_SQL, "median_pitch": PITCH_SQL, "line_counts": COUNT_SQL,
-    "low_quartile_height": QUARTILE_SQL, "box_iou": IOU_SQL, "reading_order_match": ORDER_SQL, "remap_boxes": REMAP_SQL,
+    "low_quartile_height": QUARTILE_SQL, "box_iou": IOU_SQL, "reading_order_match": ORDER_SQL, "greedy_match": GREEDY_SQL, "remap_boxes": REMAP_SQL,
     "seam_merge": SEAM_SQL, "figure_commands": FIGURE_SQL, "parse_boxes": PARSE_SQL, "hot_cells": HOT_SQL,
     "components": COMPONENTS_SQL, "best_strip_reads": BEST_SQL,
 }
