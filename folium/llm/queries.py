@@ -95,6 +95,19 @@ _BASE32_SHA1 = """list_aggregate(list_transform(range(32), lambda i: substr('ABC
         >> (3 - (i * 5 + b) % 4)::INT & 1) << (4 - b)::INT))::INT + 1, 1)), 'string_agg', '')"""
 
 ORACLES: dict[str, str] = {
+    "op2_embedding_dedup": """
+        WITH RECURSIVE vectors AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+        ), usable AS (
+            SELECT * FROM vectors WHERE label IS NOT NULL AND len(list_filter(e, lambda x: isfinite(x))) = len(e) AND list_max(list_transform(e, lambda x: abs(x))) > 0
+        ), links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+            WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+        ), reach(node, root) AS (
+            SELECT vec_id, vec_id FROM vectors UNION SELECT b, root FROM reach JOIN links ON node = a
+        )
+        SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+        FROM (SELECT node AS vec_id, min(root) AS component_id FROM reach GROUP BY node) LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a) USING (vec_id)
+    """,
     "op5_warc": f"""
         SELECT page_id, payload_bytes, {_BASE32_SHA1} AS payload_digest,
                CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
@@ -109,6 +122,25 @@ ORACLES: dict[str, str] = {
         FROM (SELECT doc_id, {_LOWER} AS norm FROM documents)
         WINDOW w AS (PARTITION BY norm)
     """,
+    "op8_suffix_array": """
+        WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+        ), strings AS (
+            SELECT doc_id, pos, substr(h, 2 * pos + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS pos FROM docs)
+        ), found AS (
+            SELECT doc_id, pos FROM (SELECT doc_id, pos, min(doc_id) OVER (PARTITION BY s) AS least FROM strings) WHERE least < doc_id
+        ), marked AS (
+            SELECT doc_id, pos, coalesce((pos > lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) + 50)::INT, 0) AS new FROM found
+        ), runs AS (
+            SELECT doc_id, min(pos) AS a, max(pos) + 50 AS b FROM (SELECT doc_id, pos, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM marked) GROUP BY doc_id, run
+        ), between_runs AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS z FROM runs
+        ), cut AS (
+            SELECT doc_id, sum(b - a) AS removed, count(*) AS spans, max(b) AS z, string_agg(substr(h, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) AS front
+            FROM between_runs JOIN docs USING (doc_id) GROUP BY doc_id
+        )
+        SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+               sha256(unhex(coalesce(front, '') || substr(h, 2 * coalesce(z, 0) + 1))) AS kept_sha256
+        FROM docs LEFT JOIN cut USING (doc_id)
+    """,
     "op10_mixing": r"""
         WITH sized AS (
             SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,

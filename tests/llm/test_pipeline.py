@@ -1,6 +1,8 @@
 import math
+import os
 import random
 
+import duckdb
 import numpy as np
 import pytest
 import tiktoken
@@ -8,13 +10,16 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from folium.llm import bpe, mixing, simhash, toxicity
+from folium.llm import bpe, mixing, queries, simhash, toxicity
 from folium.llm.mixing import SLICE_ROWS
 from tests.llm.conftest import SCHEMA, sentence
 from tests.llm.test_dedup import distance, groups, norm, print_of
 from tests.llm.test_tables import water
 
 
+SF = "/root/testdata/sf0.001"
+
+
 @pytest.fixture(scope="module")
 def sf_dir(spark, tmp_path_factory):
     rnd, rows = random.Random(8), []
@@ -174,3 +179,19 @@ def test_wide_masks_cover_and_large_buckets_are_masked_again(spark):
         assert got == near
         nearest = {(prints.index(r.b), prints.index(r.a)) for r in simhash.similar_prints(rows, 11, False, bucket).collect()}
         assert nearest <= near and {i for p in nearest for i in p} == {i for p in near for i in p}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables aren't here")
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_queries_against_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "pages"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    found = con.execute(queries.ORACLES[name])
+    columns = [c[0] for c in found.description]
+    want = [tuple(r[columns.index(c)] for c in sorted(columns)) for r in found.fetchall()]
+    rows = queries.QUERIES[name](spark, SF)
+    got = [tuple(r[c] for c in sorted(columns)) for r in rows.collect()]
+    assert sorted(rows.columns) == sorted(columns) and len(got) == len(want)
+    for a, b in zip(sorted(got, key=repr), sorted(want, key=repr)):
+        assert a == pytest.approx(b) if name == "op10_mixing" else a == b
