@@ -198,6 +198,23 @@ def symbols_as_macros(text: Column, macros: dict[str, str]) -> Column:
     return F.when(F.regexp_like(text, signs), folded).otherwise(text)
 
 
+# Fixed value: a corner table.
+CORNER_TABLE = r"(?s)\\begin\{wraptable\}\{[^}]*\}\{[^}]*\}.*?\\end\{wraptable\}"
+
+
+def table_after_title(text: Column) -> Column:
+    """P25: the first corner table behind the first block, the title; a text without one stays as it is."""
+
+    def moved(table: Column) -> Column:
+        at = F.position(table, text)
+        rest = F.concat(F.substring(text, F.lit(1), at - 1), F.substring(text, at + F.length(table), F.length(text)))
+        blocks = F.filter(F.split(strip(rest), r"\n\s*\n", -1), lambda b: ~is_blank(b))
+        around = let(blocks, lambda b: F.concat_ws("\n\n", F.slice(b, 1, 1), table, F.slice(b, F.lit(2), F.greatest(F.size(b) - 1, F.lit(0)))))
+        return F.when(table == "", text).otherwise(around)
+
+    return let(F.regexp_extract(text, CORNER_TABLE, 0), moved)
+
+
 # --- labels ------------------------------------------------------------------------------------
 
 # Words that begin a statement.

@@ -70,6 +70,25 @@ def absent_runs(runs: DataFrame, present: Column) -> DataFrame:
     return runs.withColumn("absent", F.coalesce(~F.array_contains(present, family), F.lit(False)))
 
 
+# The margin's share of a page's width, and where its top right corner begins.
+MARGIN, CORNER_X, CORNER_Y = 0.15, 0.6, 0.25
+
+
+def region_routes(regions: DataFrame, width: Column, height: Column) -> DataFrame:
+    """F16: ``regions`` (box) with ``colors_text``, outside the margin, and ``in_corner``, where a corner table stands."""
+    box = F.col("box")
+    cx, cy = (box["x0"] + box["x1"]) / 2 / width, (box["y0"] + box["y1"]) / 2 / height
+    return regions.withColumns({"colors_text": cx >= MARGIN, "in_corner": (cx > CORNER_X) & (cy < CORNER_Y)})
+
+
+def margin_colors(regions: DataFrame, keys: list[str], width: Column) -> DataFrame:
+    """The one colour of each page's margin; null where regions there (box, names) have none or several."""
+    centre = (F.col("box")["x0"] + F.col("box")["x1"]) / 2 / F.greatest(width, F.lit(1))
+    named = regions.select(*keys, F.explode_outer(F.when(centre < MARGIN, F.col("names"))).alias("name"))
+    found = named.groupBy(*keys).agg(F.collect_set("name").alias("names"))
+    return found.select(*keys, F.when(F.size("names") == 1, F.get("names", F.lit(0))).alias("color"))
+
+
 # What a compiler's message says, in the order in which hints are given.
 HINT_RULES = (
     ("alignment", r"Misplaced alignment tab|Extra alignment tab"),

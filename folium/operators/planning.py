@@ -15,6 +15,18 @@ def low_bands(bands: DataFrame, pages: DataFrame, keys: list[str]) -> DataFrame:
     return bands.join(pages.select(*keys, F.col("height").alias("_height")), keys).where(F.col("bottom") - F.col("top") <= F.col("_height") * TALLEST_BAND).drop("_height")
 
 
+def protected_bands(tables: DataFrame, regions: DataFrame, pages: DataFrame, keys: list[str]) -> DataFrame:
+    """The bands [top, bottom) that no cut may pass: ruled tables and coloured regions, unless too tall.
+
+    ``tables`` has (top, bottom), ``regions`` (y0, y1), ``pages`` (height, pitch). A region gets half
+    a line's pitch around it, or half a hundredth of the page where the pitch isn't known.
+    """
+    pad = F.floor(F.coalesce("pitch", F.col("height") * 0.01) * 0.5)
+    around = regions.select(*keys, "y0", "y1").join(pages.select(*keys, "height", pad.alias("pad")), keys)
+    padded = around.select(*keys, F.greatest(F.col("y0") - F.col("pad"), F.lit(0)).alias("top"), F.least(F.col("y1") + F.col("pad"), F.col("height")).alias("bottom"))
+    return low_bands(tables.select(*keys, "top", "bottom").unionByName(padded), pages, keys)
+
+
 def cut_candidates(profile: DataFrame, pages: DataFrame, bands: DataFrame | None, keys: list[str]) -> DataFrame:
     """(k, y) for each cut that a page needs: the emptiest row near its target, then the nearest, then the first.
 

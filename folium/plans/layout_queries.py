@@ -264,13 +264,45 @@ tried AS (SELECT *, coalesce(bool_or(ok) OVER (PARTITION BY strip ORDER BY varia
 ranked AS (SELECT *, row_number() OVER (PARTITION BY strip ORDER BY score DESC, variant) AS r FROM tried WHERE NOT done AND score > 0)
 SELECT strip, variant, ok, score FROM ranked WHERE r = 1"""
 
+def region_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.region_routes(boxes(spark, sf_dir), F.lit(1000), F.lit(800)).select("page", "k", "colors_text", "in_corner")
+
+
+ROUTES_SQL = f"WITH {BOX_SQL} SELECT page, k, (x0 + x1) / 2000.0 >= 0.15 AS colors_text, (x0 + x1) / 2000.0 > 0.6 AND (y0 + y1) / 1600.0 < 0.25 AS in_corner FROM boxes"
+
+
+def margin_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.expr("CASE k % 3 WHEN 0 THEN array('red') WHEN 1 THEN array('blue') ELSE array('red', 'green') END")
+    return matching.margin_colors(boxes(spark, sf_dir).withColumn("names", names), ["page"], F.lit(1000))
+
+
+MARGIN_COLORS_SQL = f"""WITH {BOX_SQL}, named AS (
+    SELECT page, unnest(CASE k % 3 WHEN 0 THEN ['red'] WHEN 1 THEN ['blue'] ELSE ['red', 'green'] END) AS name FROM boxes WHERE (x0 + x1) / 2000.0 < 0.15)
+SELECT page, CASE WHEN min(name) = max(name) THEN min(name) END AS color FROM (SELECT DISTINCT page FROM boxes) LEFT JOIN named USING (page) GROUP BY page"""
+
+
+def protected_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = boxes(spark, sf_dir).select("page", "k", "box.y0", F.least(F.col("box.y1") + F.col("k") * 60, F.lit(1000)).alias("y1"))
+    tables = rows.where("k = 1").select("page", F.col("y0").alias("top"), F.col("y1").alias("bottom"))
+    pages = rows.select("page").distinct().withColumns({"height": F.lit(1000), "pitch": F.expr("nullif(page % 50, 0)")})
+    found = planning.protected_bands(tables, rows.where("k > 1"), pages, ["page"])
+    return found.select("page", F.col("top").cast("long").alias("top"), F.col("bottom").cast("long").alias("bottom"))
+
+
+PROTECTED_SQL = f"""WITH {BOX_SQL}, tall AS (SELECT page, k, y0, least(y1 + k * 60, 1000) AS y1 FROM boxes), padded AS (
+    SELECT page, y0 AS top, y1 AS bottom FROM tall WHERE k = 1
+    UNION ALL SELECT page, greatest(0, y0 - pad), least(1000, y1 + pad) FROM (SELECT *, CASE page % 50 WHEN 0 THEN 5 ELSE page % 50 // 2 END AS pad FROM tall WHERE k > 1))
+SELECT page, top::BIGINT AS top, bottom::BIGINT AS bottom FROM padded WHERE bottom - top <= 400"""
+
 QUERIES = {
+    "region_routes": region_routes, "margin_colors": margin_colors, "protected_bands": protected_bands,
     "ink_runs": ink_runs, "table_bands": table_bands, "plan_cuts": plan_cuts, "plan_strips": plan_strips, "median_pitch": median_pitch,
     "line_counts": line_counts, "low_quartile_height": low_quartile_height, "box_iou": box_iou, "reading_order_match": reading_order_match,
     "greedy_match": greedy_match, "remap_boxes": remap_boxes, "seam_merge": seam_merge, "figure_commands": figure_commands,
     "parse_boxes": parse_boxes, "hot_cells": hot_cells, "components": components, "best_strip_reads": best_strip_reads,
 }
 ORACLES = {
+    "region_routes": ROUTES_SQL, "margin_colors": MARGIN_COLORS_SQL, "protected_bands": PROTECTED_SQL,
     "ink_runs": INK_SQL, "table_bands": BANDS_SQL, "plan_cuts": CUTS_SQL, "median_pitch": PITCH_SQL, "line_counts": COUNT_SQL,
     "low_quartile_height": QUARTILE_SQL, "box_iou": IOU_SQL, "reading_order_match": ORDER_SQL, "greedy_match": GREEDY_SQL, "remap_boxes": REMAP_SQL,
     "seam_merge": SEAM_SQL, "figure_commands": FIGURE_SQL, "parse_boxes": PARSE_SQL, "hot_cells": HOT_SQL,

@@ -356,7 +356,27 @@ PROMPT_SQL = r"""SELECT doc_id, md5('Generated LaTeX:' || chr(10) || '```latex'
     || 'Fix the errors and return the corrected full page body.') AS digest,
     md5('Document: ' || lang || chr(10) || chr(10) || 'Context:' || chr(10) || source || chr(10) || chr(10) || 'Transcribe the page.') AS page_digest FROM documents"""
 
+CORNER = (
+    f"'Notes ' || doc_id || chr(10) || chr(10) || 'body' || chr(10) || ' ' || chr(10) || 'of it' || chr(10) || CASE doc_id % 4 WHEN 0 THEN '' "
+    f"ELSE {B} || 'begin{{wraptable}}{{r}}{{4cm}}' || chr(10) || chr(10) || 'a & ' || doc_id || chr(10) || {B} || 'end{{wraptable}}' END "
+    f"|| CASE WHEN doc_id % 4 = 2 THEN chr(10) || chr(10) || {B} || 'begin{{wraptable}}{{l}}{{2cm}}x' || {B} || 'end{{wraptable}}' ELSE ' after' END"
+)
+
+
+def corner_table_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.expr(CORNER).alias("latex"))
+    return rows.select("doc_id", text.table_after_title(F.col("latex")).alias("latex"))
+
+
+CORNER_UP_SQL = over(
+    CORNER,
+    r"""SELECT doc_id, CASE WHEN t = '' THEN latex ELSE array_to_string(list_concat([blocks[1], t], blocks[2:]), chr(10) || chr(10)) END AS latex FROM (
+    SELECT *, list_filter(regexp_split_to_array(regexp_replace(replace(latex, t, ''), '^\s+|\s+$', '', 'g'), '\n\s*\n'), lambda b: regexp_matches(b, '\S')) AS blocks
+    FROM (SELECT *, regexp_extract(latex, '\\begin\{wraptable\}\{[^}]*\}\{[^}]*\}.*?\\end\{wraptable\}', 0, 's') AS t FROM d))""",
+)
+
 QUERIES = {
+    "wraptable_after_title": corner_table_up,
     "quality_verdict": quality_verdict, "repetition_ratio": repetition, "sanitize_body": sanitize_body, "comment_out": comment_out,
     "strip_chatter": strip_chatter, "extract_latex": extract_latex, "fix_indicator": fix_indicator, "space_margin_labels": space_margin_labels,
     "escape_amp_hash": escape_amp_hash, "unicode_to_macro": unicode_to_macro, "bold_labels": bold_labels,
@@ -366,6 +386,7 @@ QUERIES = {
     "safe_stem": safe_stem, "add_cjk": add_cjk, "page_prompts": page_prompts,
 }
 ORACLES = {
+    "wraptable_after_title": CORNER_UP_SQL,
     "quality_verdict": QUALITY_SQL, "sanitize_body": SANITIZE_SQL, "comment_out": COMMENT_SQL, "strip_chatter": CHATTER_SQL,
     "extract_latex": EXTRACT_SQL, "fix_indicator": INDICATOR_SQL, "space_margin_labels": MARGIN_SQL, "escape_amp_hash": AMP_SQL,
     "unicode_to_macro": MACRO_SQL, "bold_labels": BOLD_SQL, "lines_as_paragraphs": PARAGRAPH_SQL, "color_runs": RUNS_SQL,

@@ -15,7 +15,7 @@ def test_entry(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables aren't here")
-@pytest.mark.parametrize("name", ["quality_verdict", "greedy_match", "reading_order_match", "open_envs", "table_bands", "plan_cuts", "seam_merge", "ink_runs", "escape_amp_hash", "unicode_to_macro", "settings_problems", "context_tail", "components"])
+@pytest.mark.parametrize("name", ["quality_verdict", "region_routes", "margin_colors", "protected_bands", "wraptable_after_title", "extract_latex", "greedy_match", "reading_order_match", "open_envs", "table_bands", "plan_cuts", "seam_merge", "ink_runs", "escape_amp_hash", "unicode_to_macro", "settings_problems", "context_tail", "components"])
 def test_against_sql(spark, name):
     con = duckdb.connect()
     for f in os.listdir(SF):
