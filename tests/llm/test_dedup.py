@@ -240,6 +240,46 @@ def test_repeated_words_and_huge_parts(spark):
     assert left_lines(spark, pairs) == [False, True]
 
 
+def test_many_words_changed_by_a_letter(spark):
+    rnd, pairs = random.Random(8), []
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9))
+    first = lambda w: (xxhash.xxh64_intdigest(w.encode(), 42) >> 40) & 3 == 0
+    while len(pairs) < 6:
+        # the first of four parts stays as it is, each word of the others has a letter changed
+        a = [word() for _ in range(30)]
+        b = [w if first(w) else next(v for v in (w[:4] + x + w[5:] for x in "abcdefghijklmnopqrstuvwxyz") if v != w and not first(v)) for w in a]
+        if sum(map(first, a)) >= 5:
+            pairs.append((" ".join(a), " ".join(b)))
+    assert all(sum(x != y for x, y in zip(a.split(), b.split())) > 0.4 * 30 for a, b in pairs)
+    assert not any(left_lines(spark, pairs))
+
+
+def test_few_different_words(spark):
+    pairs = [("la la la la lo", "la la la la li"), ("do re do re do re mi", "do re do re do re fa"), ("so so so so so", "so so so so so so"), ("ti ti ti ti tu", "ta ta ta ta tu")]
+    assert left_lines(spark, pairs) == [False, False, False, True]
+
+
+def test_comparison_of_lines(spark):
+    """The bounds never decide against the distance by letters: words replaced, left out, put in, moved and repeated."""
+    rnd, rows = random.Random(3), []
+    for i in range(300):
+        a = [rnd.choice(["of", "the", "and", "é", "x" * 9, "".join(rnd.choice("aeinrst") for _ in range(rnd.randint(2, 9)))]) for _ in range(rnd.randint(5, 30))]
+        b = list(a)
+        for _ in range(rnd.randint(1, 8)):
+            k = rnd.randrange(len(b))
+            rnd.choice([lambda: b.pop(k), lambda: b.insert(k, rnd.choice(a)), lambda: b.__setitem__(k, b[k][::-1] + "n"), lambda: b.append(b.pop(k))])()
+            b = b or ["of"]
+        rows.append((i, " ".join(a), " ".join(b)))
+    rows += [(300, "a b c d e", "p q r s t u v w x y z"), (301, "a b c d e", "a b c d e")]
+    df = spark.createDataFrame(rows, "i long, a string, b string")
+    for x in "ab":
+        words = F.split(x, " ")
+        df = df.withColumns({f"{x}_words": words, f"{x}_counts": line_dedup._letter_counts(F.col(x)), f"{x}_repeats": line_dedup._repeats(words)})
+    got = {r.i: r.alike for r in line_dedup._alike(df, 0.8).select("i", "alike").collect()}
+    want = {i: distance(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9) for i, a, b in rows}
+    assert got == want and 50 < sum(want.values()) < 250
+
+
 def test_short_lines_go_if_equal(spark, tmp_path):
     texts = ["and ornd\n\n中文混合\n--\none two three four", "x\nAnd, ornd\n\n中文混合\n--\none two three for", "and ornd\nx"]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], SCHEMA)
