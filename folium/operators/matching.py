@@ -11,15 +11,17 @@ from folium.functions.repair import is_similar
 from folium.functions.text import let
 
 
-def matched_boxes(inline: DataFrame, located: DataFrame, keys: list[str], most: int = 150) -> DataFrame:
+def matched_boxes(inline: DataFrame, located: DataFrame, keys: list[str], most: int = 150, nth: str | None = None) -> DataFrame:
     """``inline`` (k, box) with the box that the locator found for it, else its own.
 
     Where both have as many, the k-th in reading order is the k-th; otherwise pairs whose vertical
-    centres are at most ``most`` apart are taken greedily, the closest first. Each side is one array
-    a page, so a page's boxes meet in one join and the matching is a fold over their pairs.
+    centres are at most ``most`` apart are taken greedily, the closest first. Boxes of ``located`` with
+    one centre stay in the order of its column ``nth``, the locator's; without it their corners decide.
+    Each side is one array a page, so a page's boxes meet in one join and the matching is a fold over their pairs.
     """
     own = inline.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("k", "box"))).alias("own"))
-    found = located.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(geometry.reading_key(F.col("box")).alias("at"), "box"))).alias("found"))
+    place = [geometry.reading_key(F.col("box")).alias("at"), *([F.col(nth).alias("nth")] if nth else []), "box"]
+    found = located.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*place))).alias("found"))
     centre = lambda b: (b["y0"] + b["y1"]) / 2
 
     def pairs() -> Column:

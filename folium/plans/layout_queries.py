@@ -147,7 +147,7 @@ SELECT page, k, round(CASE WHEN areas - shared > 0 THEN shared / (areas - shared
 
 def reading_order_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = boxes(spark, sf_dir)
-    found = matching.matched_boxes(rows, rows.select("page", "box"), ["page"])
+    found = matching.matched_boxes(rows, rows.select("page", "k", "box"), ["page"], nth="k")
     return found.select("page", "k", "box.x0", "box.y0", "box.x1", "box.y1")
 
 

@@ -166,6 +166,14 @@ def test_matching(spark):
     assert len({r.component for r in found}) == 3
 
 
+def test_boxes_with_one_centre_keep_the_locators_order(spark):
+    box = "struct<x0:int,y0:int,x1:int,y1:int>"
+    inline = spark.createDataFrame([(1, k, (0, 0, 9, 9)) for k in range(2)], f"page int, k int, box {box}")
+    located = spark.createDataFrame([(1, 0, (20, 30, 40, 50)), (1, 1, (10, 20, 50, 60))], f"page int, n int, box {box}")
+    got = {r.k: tuple(r.box) for r in matching.matched_boxes(inline, located, ["page"], nth="n").collect()}
+    assert got == {0: (20, 30, 40, 50), 1: (10, 20, 50, 60)}
+
+
 @pytest.mark.parametrize("k", range(2))
 def test_tables_in_text(spark, k):
     page = "Title\n\nbody\n\n\\begin{tabular}{l} a \\\\ b \\\\ \\end{tabular}"
