@@ -158,7 +158,7 @@ SELECT inline.page, inline.k, x0, y0, x1, y1 FROM inline JOIN located USING (pag
 
 def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = boxes(spark, sf_dir)
-    found = matching.matched_boxes(rows, rows.where("k > 1").select("page", "box"), ["page"])
+    found = matching.matched_boxes(rows, rows.where("k > 1").select("page", "k", "box"), ["page"], nth="k")
     return found.select("page", "k", "box.*", "located")
 
 

@@ -172,6 +172,9 @@ def test_boxes_with_one_centre_keep_the_locators_order(spark):
     located = spark.createDataFrame([(1, 0, (20, 30, 40, 50)), (1, 1, (10, 20, 50, 60))], f"page int, n int, box {box}")
     got = {r.k: tuple(r.box) for r in matching.matched_boxes(inline, located, ["page"], nth="n").collect()}
     assert got == {0: (20, 30, 40, 50), 1: (10, 20, 50, 60)}
+    three = inline.unionByName(spark.createDataFrame([(1, 2, (0, 400, 9, 409))], inline.schema))
+    got = {r.k: tuple(r.box) for r in matching.matched_boxes(three, located, ["page"], nth="n").collect()}
+    assert got == {0: (20, 30, 40, 50), 1: (10, 20, 50, 60), 2: (0, 400, 9, 409)}
 
 
 @pytest.mark.parametrize("k", range(2))
