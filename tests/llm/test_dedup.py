@@ -290,3 +290,11 @@ def test_short_lines_go_if_equal(spark, tmp_path):
     got = queries.op9_line_dedup(spark, str(tmp_path)).orderBy("doc_id").collect()
     assert [r.kept_sha256 for r in got] == [hashlib.sha256(t.encode()).hexdigest() for t in want]
     assert [r.n_removed for r in got] == [0, 2, 2]
+
+
+def test_lines_are_normalised_run_by_run(spark):
+    other = "".join(chr(i) for i in range(128) if not chr(i).isalnum() and chr(i) not in " \n")
+    texts = [other, "a".join(other), " a  B   c ", "a ,b, c , d ,  ,e\n  \n.\n x", " \t \n,", "", "\x01 \x01", "É—ß  中 文  ,x", *[f"a{x}{y}b{y} {x}" for x in "., \n" for y in "-  \t"]]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.n for r in rows.select("i", line_dedup.normal(F.col("t")).alias("n")).collect()}
+    assert got == {i: re.sub(" +", " ", "".join(" " if x in other else x for x in t.lower())) for i, t in enumerate(texts)}
