@@ -280,6 +280,26 @@ def test_comparison_of_lines(spark):
     assert got == want and 50 < sum(want.values()) < 250
 
 
+def test_long_lines_are_decided_piece_by_piece(spark):
+    """Near copies without words of their own to align by are not compared letter by letter, and the bound is never under the distance."""
+    rnd, rows = random.Random(6), []
+    for i in range(60):
+        base = ["".join(rnd.choice("aeinrstüé") for _ in range(rnd.randint(2, 9))) for _ in range(rnd.randint(8, 30))] * (12 if i < 30 else 2)
+        new = [w for w in base if rnd.random() > 0.04]
+        for _ in range(len(base) // 25):
+            new.insert(rnd.randrange(len(new)), rnd.choice(["of", "thenan", "x" * 12]))
+        rows.append((i, " ".join(base), " ".join(new)))
+    rows += [(60, "a" * 500, ""), (61, "", "b" * 70), (62, "", ""), (63, "ab" * 300, "ba" * 300), (64, "c" * 64, "c" * 128)]
+    df = spark.createDataFrame(rows, "i int, a string, b string")
+    got = {r.i: r.d for r in df.select("i", line_dedup._by_pieces(F.col("a"), F.col("b"), F.lit(10**6)).alias("d")).collect()}
+    assert all(distance(a, b) <= got[i] for i, a, b in rows) and got[62] == 0
+    for x in "ab":
+        words = F.split(x, " ")
+        df = df.withColumns({f"{x}_words": words, f"{x}_counts": line_dedup._letter_counts(F.col(x)), f"{x}_repeats": line_dedup._repeats(words)})
+    long = line_dedup._alike(df.where("i < 30"), 0.8).select("alike", "near").collect()
+    assert all(r.alike for r in long) and sum(r.near is None for r in long) >= 15
+
+
 def test_short_lines_go_if_equal(spark, tmp_path):
     texts = ["and ornd\n\n中文混合\n--\none two three four", "x\nAnd, ornd\n\n中文混合\n--\none two three for", "and ornd\nx"]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], SCHEMA)
