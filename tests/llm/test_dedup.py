@@ -300,6 +300,18 @@ def test_long_lines_are_decided_piece_by_piece(spark):
     assert all(r.alike for r in long) and sum(r.near is None for r in long) >= 15
 
 
+def test_lines_are_normalised_and_split_once(spark, monkeypatch):
+    seen, normal = [], line_dedup.normal
+    monkeypatch.setattr(line_dedup, "normal", lambda text: seen.append(text) or normal(text))
+    docs = spark.createDataFrame([(i, f"one two three four five six {i}\nseven eight nine ten eleven {i}") for i in range(4)], "doc_id long, text string")
+    assert line_dedup.deduplicated(docs, size_col=None).count() == 4
+    assert len(seen) == 1
+    plans = []
+    monkeypatch.setattr(line_dedup, "saved", lambda df, name, *_: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or df)
+    line_dedup.line_nodes(line_dedup._named(docs.select(F.col("doc_id").alias("key"), F.lit(0).alias("pos"), F.lit(0).alias("mark"), F.col("text").alias("line"))))
+    assert plans[0].count("array_distinct(split(") == 1
+
+
 def test_short_lines_go_if_equal(spark, tmp_path):
     texts = ["and ornd\n\n中文混合\n--\none two three four", "x\nAnd, ornd\n\n中文混合\n--\none two three for", "and ornd\nx"]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], SCHEMA)
